@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .dom_extract import extract_pages
 from .golay_dedup import near_duplicates
 from .kdtree_search import top_inner_products, whole_vectors
 from .pii_bootstrap import personal_data
 from .piece_counts import piece_counts
 from .rank_queue_bpe import bpe_round_trip
 from .robust_outliers import robust_outliers
+from .site_bayes import site_quality
 from .vector_packing import pack_documents
+from .window_lm import pseudo_likelihood
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +55,27 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op7_window_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+def op8_dom_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_robust_outliers, op2_golay_near_duplicates, op3_piece_counts, op4_bootstrapped_pii, op5_kdtree_top_k, op6_vector_packing, op10_bpe_round_trip)
+    found = (
+        op1_robust_outliers, op2_golay_near_duplicates, op3_piece_counts, op4_bootstrapped_pii, op5_kdtree_top_k, op6_vector_packing,
+        op7_window_pseudo_likelihood, op8_dom_main_text, op9_site_bayes_quality, op10_bpe_round_trip,
+    )
     return {f.__name__: f for f in found}
 
 

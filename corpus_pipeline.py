@@ -5,25 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.golay_dedup import keep_representatives
+from brindle.llm.pii_bootstrap import redact
+from brindle.llm.queries import vocabulary
 from brindle.llm.robust_outliers import keep_regular
 from brindle.llm.shared import cut
+from brindle.llm.site_bayes import keep_good
+from brindle.llm.vector_packing import pack_documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the site-level classifier rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their language and source go."""
     return keep_regular(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
     return keep_representatives(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup)]
-#: The stages train a classifier, concentrate covariances and tokenize, which SQL cannot express.
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced in the texts; n_chars follows."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return pack_documents(docs, *vocabulary("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+#: The stages train a classifier, concentrate covariances and tokenize, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage is written as Parquet and read again for the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
     return docs
