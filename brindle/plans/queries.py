@@ -514,7 +514,7 @@ def range_source(spark, sf_dir):
     return S.range_frame(spark, -2, 8, 0.5)
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 1.5, TRUE), (2, NULL, NULL, FALSE)) t(id, name, score, ok)")
+@query("SELECT * FROM (VALUES (1, 'a', 1.5::DOUBLE, TRUE), (2, NULL, NULL, FALSE)) t(id, name, score, ok)")
 def records_source(spark, sf_dir):
     rows = [{"id": 1, "name": "a", "score": 1.5, "ok": True}, {"id": 2, "ok": False}]
     return S.from_records(spark, rows, {"id": "int32", "name": "string", "score": "float64", "ok": "boolean"})

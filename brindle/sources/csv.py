@@ -31,7 +31,7 @@ def _typed(frame: DataFrame, schema: T.StructType, defaults: bool) -> DataFrame:
 
 
 def _options(delimiter: str, quote: str, header: bool, multi_line: bool) -> dict:
-    return {"sep": delimiter, "quote": quote, "escape": quote, "header": str(header).lower(), "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "enforceSchema": "true"}
+    return {"sep": delimiter, "quote": quote, "escape": quote, "header": str(header).lower(), "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "enforceSchema": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
 
 
 def read_csv(
