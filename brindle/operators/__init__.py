@@ -7,5 +7,6 @@ from .joins import anti_join, cross_join, full_join, inner_join, join, left_join
 from .order import SortKey, asc, desc, head, limit, offset, order_by, slice_rows, sort, tail
 from .rows import cast, count_nulls, drop, drop_null, explode_json, fill_backward, fill_forward, fill_null, fill_nulls, filter_rows, has_any_null, rename, replace_column, sample, select, select_as, shuffle, trim_column, where, with_column, with_columns
 from .sets import concat, distinct, drop_duplicates, union, union_all, unique, validate_same_columns
+from .text import compare, filter_by_byte_length, filter_by_char_length, filter_by_prefix, filter_by_suffix, lower_column, offset_of_code_point, pad_column, substring_column, upper_column
 
 __all__ = [n for n in dir() if not n.startswith("__")]

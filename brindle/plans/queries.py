@@ -583,6 +583,79 @@ def event_windows(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
 
 
+@query(
+    """SELECT p_partkey, UPPER(p_name) AS p_name, SUBSTR(LOWER(p_type), 3, 4) AS p_type, CASE WHEN LENGTH(p_brand) < 12 THEN RPAD(p_brand, 12, '.') ELSE p_brand END AS p_brand FROM part
+    WHERE p_type LIKE 'S%' AND LENGTH(p_name) BETWEEN 5 AND 40 AND STRLEN(p_name) >= 6 AND p_brand LIKE '%2'"""
+)
+def text_operators(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand").transform(O.filter_by_prefix, "p_type", "S").transform(O.filter_by_suffix, "p_brand", "2")
+    df = df.transform(O.filter_by_char_length, "p_name", 5, 40).transform(O.filter_by_byte_length, "p_name", 6)
+    df = df.transform(O.upper_column, "p_name").transform(O.lower_column, "p_type").transform(O.substring_column, "p_type", 2, 6)
+    return df.transform(O.pad_column, "p_brand", 12, ".", "right")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name < b.n_name THEN -1 WHEN a.n_name = b.n_name THEN 0 ELSE 1 END AS c, CAST(STRLEN(SUBSTR(a.n_name, 1, 3)) AS INTEGER) AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def text_compare(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    pairs = O.join(n.select("n_regionkey", F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey")
+    return pairs.select("a", "b", O.compare("a", "b").alias("c"), O.offset_of_code_point("a", 3).alias("o"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'x', TRUE), (2, 'y', NULL), (NULL, 'z', FALSE)) t(a, b, c)")
+def columns_source(spark, sf_dir):
+    """Types come from the values."""
+    return S.from_columns(spark, {"a": [1, 2, None], "b": ["x", "y", "z"], "c": [True, None, False]})
+
+
+@query("SELECT CAST(NULL AS INTEGER) AS id, CAST(NULL AS VARCHAR) AS name WHERE FALSE")
+def empty_source(spark, sf_dir):
+    return S.empty(spark, {"id": "int32", "name": "string"})
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 100000")
+def csv_file_round_trip(spark, sf_dir):
+    """Written as CSV, read with a schema and a filter."""
+    from ..storage import shared_path
+
+    path = shared_path(spark)
+    S.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path)
+    return S.read_csv(spark, path, {"o_orderkey": "int64", "o_totalprice": "float64", "o_orderpriority": "string"}, filter=F.col("o_totalprice") > 100000)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def cached_source(spark, sf_dir):
+    from ..storage import shared_path
+
+    cache = shared_path(spark)
+    read = lambda: table(spark, sf_dir, "nation")
+    S.cached_read(spark, f"{sf_dir}/nation.parquet", read, cache)
+    return S.cached_read(spark, f"{sf_dir}/nation.parquet", read, cache)
+
+
+@query("SELECT MIN(o_totalprice) AS low, MAX(o_totalprice) AS high, ROUND(AVG(o_totalprice), 4) AS mean FROM orders")
+def scalar_actions(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    values = {"low": O.scalar_min(df, "o_totalprice"), "high": O.scalar_max(df, "o_totalprice"), "mean": round(O.scalar_mean(df, "o_totalprice"), 4)}
+    return S.from_records(spark, [values], {"low": "float64", "high": "float64", "mean": "float64"})
+
+
+@query("SELECT CAST(SUM(n_nationkey) AS BIGINT) AS total, COUNT(*) AS n FROM nation")
+def row_callbacks(spark, sf_dir):
+    """reduce and for_each on the driver, over a table of fixed size."""
+    df, seen = table(spark, sf_dir, "nation"), []
+    O.for_each(df, lambda row: seen.append(row["n_nationkey"]))
+    total = O.reduce(df, lambda acc, row: acc + row["n_nationkey"], 0)
+    return S.from_records(spark, [{"total": total, "n": len(seen)}], {"total": "int64", "n": "int64"})
+
+
+@query("SELECT o_orderkey, SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 500000 AS over FROM orders")
+def running_totals(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.sum("o_totalprice").over(w) > 500000).alias("over"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
