@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
-from .shared import cut, drop_cut
+from .shared import cut, drop_cut, fresh_name
 
 #: The generator polynomial of the Golay code, and the segments of a fingerprint as (shift, bits).
 GENERATOR = 0b110001110101
@@ -157,10 +157,8 @@ def keep_representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     Of repeated rows with one doc_id one stays (the smallest text). Rows with a null doc_id stay.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, bucket=bucket)
-    kept = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
-    rest = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    one = rest.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
+    found, name = near_duplicates(docs, bucket=bucket), fresh_name(docs, "representative")
+    kept = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
+    rest = docs.filter("doc_id is not null").join(kept, docs["doc_id"] == kept[name], "left_semi")
+    one = rest.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(name) == 1).drop(name)
     return one.unionByName(docs.filter("doc_id is null"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Pre-tokens up to this length are remembered, this many at a time; the memory only saves repeated work.
 MEMO_LENGTH, MEMO_SIZE = 48, 1_000_000
 #: The library's own meaning of \s: the Unicode property White_Space, without the separators U+001C to U+001F.
-WHITE = r"\t-\r \x85\xA0  -     　"
+WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:

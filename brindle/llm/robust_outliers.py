@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import cut, drop_cut
+from .shared import cut, drop_cut, without
 
 #: The characters that count as symbols, and white space of the word pattern.
 SYMBOLS = "#*$%&|<>"
@@ -233,5 +233,4 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_regular(docs: DataFrame) -> DataFrame:
     """docs without the rows that robust_outliers rejects; columns as they came. Rows are matched by doc_id; those with a null id stay."""
-    bad = cut(robust_outliers(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without(docs, robust_outliers(docs).filter("not kept"))

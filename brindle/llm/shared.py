@@ -19,6 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in rejected (doc_id); rows with a null id stay. Other columns may have any names."""
+    name = fresh_name(docs, "rejected")
+    bad = cut(rejected.filter("doc_id is not null").select(rejected["doc_id"].alias(name)).distinct())
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: a lost executor costs no recomputation beyond this point."""
     spark = df.sparkSession

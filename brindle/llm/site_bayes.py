@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut
+from .shared import cut, without
 
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -138,5 +138,4 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that site_quality rejects; columns as they came. Rows are matched by doc_id; those with a null id stay."""
-    bad = cut(site_quality(docs, labels).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without(docs, site_quality(docs, labels).filter("not kept"))
