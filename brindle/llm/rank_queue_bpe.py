@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The parts of a pre-token form a linked list. Every adjacent pair that the vocabulary can merge waits in the bucket of its rank, ordered by position.
-A three-level bitmap of 64-bit words holds which ranks have entries; find-first-set on each level picks the least rank in constant time. Entries whose pair has changed meanwhile
+A two-level bitmap of 512-bit words holds which ranks have entries; find-first-set on each level picks the least rank in constant time. Entries whose pair has changed meanwhile
 are stale and skipped. A pre-token of n bytes has at most 3n entries, so very long ones cost O(n log n) for the order inside buckets.
 """
 
@@ -22,65 +22,71 @@ MEMO_LENGTH, MEMO_SIZE = 48, 1_000_000
 WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+_BYTES = [bytes([i]) for i in range(256)]
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: merges by least rank, then leftmost."""
-    whole = ranks.get(word)
+    get = ranks.get
+    whole = get(word)
     if whole is not None:
         return [whole]
     n = len(word)
-    get = ranks.get
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    parts = [_BYTES[b] for b in word]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair: list[int | None] = [get(word[i : i + 2]) for i in range(n)]  # the rank that waits for each position, to tell stale entries
-    pair[n - 1] = None
-    buckets: dict[int, list[int]] = {}
-    top, mid, low = 0, {}, {}  # the levels of the bitmap
-    fresh = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
-    while True:
-        for rank, i in fresh:
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, i)
+    pair = [get(word[i : i + 2]) for i in range(n - 1)]  # the rank that waits for each position, to tell stale entries
+    pair.append(None)
+    buckets: dict[int, list[int]] = {}  # heaps of positions
+    top, low = 0, {}  # the bitmap's levels, of 512 bits a word
+    for i, rank in enumerate(pair):
+        if rank is not None:
+            if rank in buckets:
+                buckets[rank].append(i)  # rising positions are a heap
             else:
                 buckets[rank] = [i]
-                a, b = rank >> 6, rank >> 12
-                low[a] = low.get(a, 0) | 1 << (rank & 63)
-                mid[b] = mid.get(b, 0) | 1 << (a & 63)
-                top |= 1 << b
-        if not top:
-            break
-        b = (top & -top).bit_length() - 1
-        m = mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
+                a = rank >> 9
+                low[a] = low.get(a, 0) | 1 << (rank & 511)
+                top |= 1 << a
+    while top:
+        a = (top & -top).bit_length() - 1
         w = low[a]
-        rank = a << 6 | (w & -w).bit_length() - 1
+        rank = a << 9 | (w & -w).bit_length() - 1
         bucket = buckets[rank]
         i = heappop(bucket)
         if not bucket:
-            w = low[a] = w & w - 1
+            del buckets[rank]
+            w &= w - 1
+            low[a] = w
             if not w:
-                m = mid[b] = m & m - 1
-                if not m:
-                    top &= top - 1
-        fresh = []
+                top &= top - 1
         if pair[i] != rank:
             continue
         j = after[i]
         joined = parts[i] = parts[i] + parts[j]
-        parts[j] = pair[j] = None
+        pair[j] = parts[j] = None
         k = after[i] = after[j]
+        h = before[i]
         if k < n:
             before[k] = i
-            found = pair[i] = get(joined + parts[k])
-            if found is not None:
-                fresh.append((found, i))
+            right = pair[i] = get(joined + parts[k])
         else:
-            pair[i] = None
-        h = before[i]
+            right = pair[i] = None
         if h >= 0:
-            found = pair[h] = get(parts[h] + joined)
-            if found is not None:
-                fresh.append((found, h))
+            left = pair[h] = get(parts[h] + joined)
+        else:
+            left = None
+        while right is not None or left is not None:
+            if right is not None:
+                rank, at, right = right, i, None
+            else:
+                rank, at, left = left, h, None
+            if rank in buckets:
+                heappush(buckets[rank], at)
+            else:
+                buckets[rank] = [at]
+                a = rank >> 9
+                low[a] = low.get(a, 0) | 1 << (rank & 511)
+                top |= 1 << a
     return [ranks[p] for p in parts if p is not None]
 
 
@@ -89,6 +95,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Memo(dict):
+    """The ids of pre-tokens, joined by commas; filled on demand, in two generations, so that common ones stay when it is full."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.older = ranks, {}
+
+    def __missing__(self, token: str) -> str:
+        found = self.older.get(token)
+        if found is None:
+            found = ",".join(map(str, merge(token.encode(), self.ranks)))
+            if len(token) > MEMO_LENGTH:
+                return found
+        if len(self) >= MEMO_SIZE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[token] = found
+        return found
+
+
 class Coder:
     """Encodes texts to decimal ids and decodes them; not safe for threads."""
 
@@ -100,22 +125,11 @@ class Coder:
         # the classes first, for \S stands inside and outside of brackets
         exact = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
         self.split = regex.compile(exact).findall
-        self.memo: dict[str, str] = {}
-
-    def __call__(self, token: str) -> str:
-        """The ids of one pre-token, joined by commas."""
-        found = self.memo.get(token)
-        if found is None:
-            found = ",".join(map(str, merge(token.encode(), self.ranks)))
-            if len(token) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO_SIZE:
-                    self.memo.clear()
-                self.memo[token] = found
-        return found
+        self.ids = Memo(self.ranks).__getitem__
 
     def encode(self, text: str) -> str:
         """The ids of a text, joined by commas."""
-        return ",".join(map(self, self.split(text)))
+        return ",".join(map(self.ids, self.split(text)))
 
     def decode(self, ids: str) -> bytes:
         """The bytes of ids that are joined by commas."""
