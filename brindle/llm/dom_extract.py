@@ -24,6 +24,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 CLOSE_P = BLOCKS - frozenset("body button caption dd dt head html legend li optgroup option summary tbody td tfoot th thead tr".split())
 
+FLOWING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre caption figcaption summary".split())
+#: By how much odds are raised where a page would be left without text.
+RAISES = (1.0, 2.0)
+
 #: Attribute tokens that speak for and against main text.
 NEGATIVE = frozenset("ad ads advert adverts advertisement alert aside banner bar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus dialog flyout foot footer form gdpr head header legal links login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar top tracking widget".split())
 POSITIVE = frozenset("article articlebody blog body content contents copy entry hentry main news page post prose readable story text".split())
@@ -237,21 +241,46 @@ class Forest:
         return out
 
 
-def decode(parents: list[int], odds: np.ndarray) -> np.ndarray:
-    """The consistent labelling of greatest likelihood: an element may be kept only with its parent. The root is kept."""
+def tied_elements(page: Page) -> np.ndarray:
+    """Inline elements in the midst of text: they share their parent's label, so that no block loses words."""
+    n = len(page.tags)
+    flowing = np.array([t in FLOWING for t in page.tags])
+    for run in page.runs:
+        if run is not None and run[1].strip():
+            flowing[run[0]] = True
+    tied = np.zeros(n, dtype=bool)
+    for i in range(1, n):
+        tied[i] = page.tags[i] not in BLOCKS and page.tags[i] not in RAW and flowing[page.parents[i]]
+    return tied
+
+
+def decode(parents: list[int], odds: np.ndarray, tied: np.ndarray | None = None) -> np.ndarray:
+    """The consistent labelling of greatest likelihood: an element may be kept only with its parent, and a tied one exactly with it. The root is kept."""
     keep, drop = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+    if tied is None:
+        tied = np.zeros(len(parents), dtype=bool)
+    keep[tied] = drop[tied] = 0.0
     best, dropped = keep.copy(), drop.copy()  # of whole subtrees
     for i in range(len(parents) - 1, 0, -1):
         p = parents[i]
-        best[p] += max(best[i], dropped[i])
+        best[p] += best[i] if tied[i] else max(best[i], dropped[i])
         dropped[p] += dropped[i]
     kept = np.zeros(len(parents), dtype=bool)
     kept[0] = True
     for i in range(1, len(parents)):
-        kept[i] = kept[parents[i]] and best[i] > dropped[i]
+        kept[i] = kept[parents[i]] and (tied[i] or best[i] > dropped[i])
     return kept
 
 
+def decoded_text(page: Page, odds: np.ndarray) -> str:
+    """The text of the best labelling. A page is expected to have main text: where nothing is kept, the odds are raised a little."""
+    tied = tied_elements(page)
+    for raised in (0.0, *RAISES):
+        if text := page.text(decode(page.parents, odds + raised, tied)):
+            return text
+    return ""
+
+
 # generated pages for training
 
 
@@ -380,7 +409,7 @@ def _labels(page: Page) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained_forest(pages: int = 500, seed: int = 7) -> Forest:
+def trained_forest(pages: int = 800, seed: int = 7) -> Forest:
     """The forest for generated pages; the same on every run."""
     rng = random.Random(seed)
     made = [Page(_Writer(rng).page()) for _ in range(pages)]
@@ -391,7 +420,7 @@ def main_texts(htmls: list[str], forest: Forest) -> list[str]:
     pages = [Page(h) for h in htmls]
     rows = [node_features(p) for p in pages]
     odds = np.split(forest.log_odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else []
-    return [p.text(decode(p.parents, o)) for p, o in zip(pages, odds)]
+    return [decoded_text(p, o) for p, o in zip(pages, odds)]
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -437,7 +437,7 @@ def test_extraction_of_held_out_layouts():
     for _ in range(200):
         page = dom_extract.Page(dom_extract._Writer(rng).page())
         want = page.text(dom_extract._labels(page))
-        got = page.text(dom_extract.decode(page.parents, forest.log_odds(dom_extract.node_features(page))))
+        got = dom_extract.decoded_text(page, forest.log_odds(dom_extract.node_features(page)))
         a, b = set(want.split("\n")), set(got.split("\n"))
         same, blocks, wrong = same + (want == got), blocks + len(a), wrong + len(a ^ b)
     assert same >= 170 and wrong < 0.05 * blocks
