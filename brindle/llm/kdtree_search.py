@@ -118,7 +118,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows with the highest integer inner products, ties to smaller ids; all, if there are fewer.
 
-    table and queries: (vec_id long, v array<long>) as whole_vectors gives them, all of one dimension. A row never answers a query with its own id. Repeated rows
+    table and queries: (vec_id long, v array<long>) as whole_vectors gives them; vectors only meet those of their own dimension. A row never answers a query with its own id. Repeated rows
     of table answer as often as they stand there; of repeated queries one counts. Without queries or rows the result is empty.
     """
     rows = cut(table)
@@ -130,10 +130,10 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 10, shard:
 
     def build(key, data):
         tree = KDTree(data.column("vec_id").to_numpy().astype(np.int64), _matrix(data.column("v")))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
 
-    dealt = rows.withColumn("shard", home(1)).select("shard", "vec_id", "v")
-    trees = cut(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary"))
+    dealt = rows.select(home(1).alias("shard"), F.size("v").alias("dim"), "vec_id", "v")
+    trees = cut(dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, tree binary"))
 
     def search(key, tree, block):
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -154,7 +154,7 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 10, shard:
     def searched(met: DataFrame) -> DataFrame:
         """met: (shard, block, vec_id, v, floor). Trees go to each group of query blocks once."""
         copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return copies.groupBy("shard", "block").cogroup(met.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
+        return copies.groupBy("shard", "block", "dim").cogroup(met.withColumn("dim", F.size("v")).groupBy("shard", "block", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
 
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int").alias("block")
     lowest = F.lit(-(1 << 63)).cast("long")

@@ -321,6 +321,8 @@ def test_top_k(spark, shard):
         for k, i in enumerate(sorted(others, key=lambda i: (-s[i], i))[:10]):
             want.append((q, k + 1, i, int(s[i])))
     assert got == want
+    mixed = table.filter("vec_id < 20").union(spark.createDataFrame([(100, [1, 2]), (101, [5, 5]), (102, [3, 9])], "vec_id long, v array<long>"))
+    assert collect(kdtree_search.top_inner_products(mixed, mixed.filter("vec_id % 100 = 0")).filter("query_id = 100"), "rank", "vec_id", "score") == [(1, 102, 21), (2, 101, 15)]
     few = table.filter("vec_id < 3")
     assert kdtree_search.top_inner_products(few, few.filter("vec_id = 0")).count() == 2
     assert kdtree_search.top_inner_products(few.limit(0), few.limit(0)).count() == 0
