@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import SourceError
-from ..functions.scalar import cast_to, trim
 from ..types import UNSIGNED, make_schema, spark_type
 
+#: White space and control characters, which do not count at the ends of a value.
+SPACE = "".join(map(chr, range(33)))
+
+
+def _raw_schema(schema: T.StructType, defaults: bool) -> T.StructType:
+    """What the reader itself parses: numbers, unless empty and malformed ones must be told apart; all else as text."""
+    native = lambda t: isinstance(t, T.NumericType) and not defaults
+    return T.StructType([T.StructField(f.name, f.dataType if native(f.dataType) else T.StringType()) for f in schema])
+
 
 def _typed(frame: DataFrame, schema: T.StructType, defaults: bool) -> DataFrame:
-    """Text columns as their kinds: trimmed; empty is null, or with defaults the kind's default; what does not parse is null."""
+    """Raw columns as their kinds: trimmed; empty is null, or with defaults the kind's default; what does not parse is null."""
     out = []
     for f in schema:
-        raw, target = trim(F.col(f"`{f.name}`")), spark_type(f.dataType)
+        target, most = spark_type(f.dataType), UNSIGNED.get(f.metadata.get("kind"))
+        if frame.schema[f.name].dataType == target and isinstance(target, T.NumericType):
+            value = F.col(f"`{f.name}`")
+            out.append((value if most is None else F.when(value.between(0, F.lit(most).cast(target)), value)).alias(f.name))
+            continue
+        raw = F.btrim(F.col(f"`{f.name}`"), F.lit(SPACE))
         empty = raw.isNull() | (raw == "")
         if isinstance(target, T.BooleanType):
             value = F.when(~empty, F.substring(raw, 1, 1).isin("1", "T", "t", "Y", "y"))
@@ -21,8 +34,8 @@ def _typed(frame: DataFrame, schema: T.StructType, defaults: bool) -> DataFrame:
         elif isinstance(target, T.StringType):
             value, missing = F.when(~empty, raw), F.lit("")
         elif isinstance(target, T.NumericType):
-            value, missing = cast_to(raw, target, T.StringType()), F.lit(0).cast(target)
-            if (most := UNSIGNED.get(f.metadata.get("kind"))) is not None:
+            value, missing = raw.try_cast(target), F.lit(0).cast(target)
+            if most is not None:
                 value = F.when(value.between(0, F.lit(most).cast(target)), value)
         else:
             value, missing = raw.try_cast(target), F.lit(None).cast(target)
@@ -40,8 +53,7 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder, lazily. skip_rows: data rows left out at the start, in file order; projection: ordinals of the columns to keep. Unused columns are not parsed."""
     s = schema if isinstance(schema, T.StructType) else make_schema(schema)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in s])
-    raw = spark.read.schema(text).options(**_options(delimiter, quote, header, multi_line)).csv(path)
+    raw = spark.read.schema(_raw_schema(s, defaults)).options(**_options(delimiter, quote, header, multi_line)).csv(path)
     if skip_rows:
         # file order: the ids of the first rows grow within a partition and with the partition
         raw = raw.withColumn("_row", F.monotonically_increasing_id())

@@ -22,7 +22,9 @@ def shared_path(spark: SparkSession) -> str:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its rows stay as they are, and executors may be lost."""
+    """df written as Parquet in the shared folder and read again: its rows stay as they are, and executors may be lost. The table goes when the driver ends."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
+    gone = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return df.sparkSession.read.schema(df.schema).parquet(path)
