@@ -35,10 +35,12 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: a lost executor costs no recomputation beyond this point."""
+    """The rows written as Parquet in the shared folder and read again: a lost executor costs no recomputation beyond this point. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
