@@ -105,51 +105,54 @@ def has_any_null(df: DataFrame, columns: list[str] | None = None) -> bool:
     return not df.filter(found).isEmpty()
 
 
-def _window(order, by):
+
+
+def _fill(df: DataFrame, name: str, order, by, forward: bool, split: bool) -> DataFrame:
+    _known(df, [name])
+    by = [by] if isinstance(by, str) else list(by or [])
     order = [order] if isinstance(order, (str, Column)) else list(order)
     if not order:
         raise BrindleError("rows have no order of their own: name order columns")
-    return Window.partitionBy(*([by] if isinstance(by, str) else by or [])).orderBy(*order)
+    if by and not split:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(name, _known_value(name, w, forward))
+    return _fill_ranges(df, name, order, by, forward)
 
 
+def _known_value(name: str, w, forward: bool) -> Column:
+    """The nearest value at or before a row of the window, or at or after it."""
+    return F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(name, True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 
-def _fill(df: DataFrame, name: str, order, by, forward: bool) -> DataFrame:
-    _known(df, [name])
-    if by:
-        w = _window(order, by)
-        kept = F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(name, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return df.withColumn(name, kept)
-    return _fill_all(df, name, [order] if isinstance(order, (str, Column)) else list(order), forward)
-
-
-def _fill_all(df: DataFrame, name: str, order: list, forward: bool) -> DataFrame:
-    """Without groups, one task would get all rows. Range partitions are filled each on their own; what an earlier one carries over is one value a partition."""
-    if not order:
-        raise BrindleError("rows have no order of their own: name order columns")
-    w = Window.partitionBy("_part").orderBy(*order)
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    at, value = F.row_number().over(w), F.when(F.col(name).isNotNull(), F.col("_at"))
-    over_parts = Window.orderBy("_part")
+def _fill_ranges(df: DataFrame, name: str, order: list, by: list[str], forward: bool) -> DataFrame:
+    """A group may be large, or all rows one group: range partitions are filled each on their own. What one hands to the next is a value for each group that it holds."""
+    parts = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    # written, as the partitions of a row must not change between the two uses
+    numbered = materialised(parts.withColumn("_at", F.row_number().over(w)).withColumn("_kept", _known_value(name, w, forward)))
+    value = F.when(F.col(name).isNotNull(), F.col("_at"))
+    over_parts = Window.partitionBy(*by).orderBy("_part")
     if forward:
-        inner, edge = F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max_by(name, value)
-        carried = F.last("_v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
+        edge, carried = F.max_by(name, value), F.last("_v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        inner, edge = F.first(name, True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.min_by(name, value)
-        carried = F.first("_v", True).over(over_parts.rowsBetween(1, Window.unboundedFollowing))
-    # written, as the partitions of a row must not change between the two uses
-    numbered = materialised(parts.withColumn("_at", at).withColumn("_kept", inner))
-    edges = numbered.groupBy("_part").agg(edge.alias("_v")).select("_part", carried.alias("_carried"))
-    return numbered.join(edges, "_part").withColumn(name, F.coalesce("_kept", "_carried")).select(*df.columns)
+        edge, carried = F.min_by(name, value), F.first("_v", True).over(over_parts.rowsBetween(1, Window.unboundedFollowing))
+    edges = numbered.groupBy("_part", *by).agg(edge.alias("_v")).select(F.col("_part").alias("_of"), *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), carried.alias("_carried"))
+    on = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        on = on & numbered[c].eqNullSafe(F.col(f"_by_{i}"))
+    return numbered.join(edges.filter("_carried is not null"), on, "left").withColumn(name, F.coalesce("_kept", "_carried")).select(*df.columns)
+
 
+def fill_forward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = False) -> DataFrame:
+    """Nulls take the previous value in order, inside groups if by is given; leading nulls stay. order must be total within a group.
 
-def fill_forward(df: DataFrame, name: str, order, by: list[str] | str | None = None) -> DataFrame:
-    """Nulls take the previous value in order, inside groups if by is given; leading nulls stay. order must be total without by."""
-    return _fill(df, name, order, by, True)
+    split_groups spreads each group over tasks, for groups that may hold a large share of all rows; without groups rows are always spread.
+    """
+    return _fill(df, name, order, by, True, split_groups)
 
 
-def fill_backward(df: DataFrame, name: str, order, by: list[str] | str | None = None) -> DataFrame:
-    return _fill(df, name, order, by, False)
+def fill_backward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = False) -> DataFrame:
+    return _fill(df, name, order, by, False, split_groups)
 
 
 def shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:

@@ -122,6 +122,14 @@ def test_fill(spark, values):
         assert [r[1] for r in sorted(rows(fill(df, "v", "i")))] == want
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 9))), max_size=30))
+def test_fill_in_split_groups(spark, values):
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(values)], "i int, k string, v int").repartition(3)
+    for fill in (O.fill_forward, O.fill_backward):
+        assert sorted(rows(fill(df, "v", "i", by="k", split_groups=True))) == sorted(rows(fill(df, "v", "i", by="k")))
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([(1, None, "[1,2]"), (2, 5, "[]"), (None, 6, "x")], "a int, b int, j string")
     assert rows(O.drop_null(df, ["a"]))[0][0] == 1 and O.drop_null(df).count() == 1
