@@ -62,9 +62,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _commonest(counts: DataFrame) -> DataFrame:
+    """The VOCABULARY commonest words. A count of words by the size of their counts first tells which can be among them, so that no task sends more than these."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    need, least = VOCABULARY, None
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        least, need = r["size"], need - r["count"]
+        if need <= 0:
+            break
+    return (counts if least is None else counts.filter(size >= least)).orderBy(F.col("n").desc(), "word").limit(VOCABULARY)
+
+
 def learn_words(counts: DataFrame) -> Words:
     """The vocabulary: the commonest words (ties to the smaller word), a bounded number; the mass of the others is kept per shared class."""
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()
+    top = _commonest(counts).collect()
     codes = Codes((bytes(r["word"]), i) for i, r in enumerate(top))
     classes = np.full(VOCABULARY + SHARED, PAD, dtype=np.int8)
     mass = np.zeros(VOCABULARY + SHARED)
