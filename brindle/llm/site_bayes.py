@@ -103,7 +103,10 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     site = lambda *c: F.to_json(F.array(*(x.cast("string") for x in c)), {"ignoreNullFields": "false"})
     rows = cut(_measured(docs.select(F.col(id_col).cast("long").alias("doc_id"), site(host).alias("host"), site(host, path).alias("path"), F.col(text_col).alias("text"))))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).join(rows.select("doc_id", "x"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
+    order = [F.shiftrightunsigned(F.xxhash64("doc_id"), 40), F.col("doc_id")]
+    share = min(1.0, (1.1 * labelled + 1000) / max(1, known.count()))  # of the hashes below 2**24 that can be among the smallest
+    first = known.filter(order[0] < int(share * (1 << 24)) + 1).orderBy(*order).limit(labelled)
+    sample = first.join(rows.select("doc_id", "x"), "doc_id").orderBy(*order).limit(labelled).collect()
     x, y = np.array([r["x"] for r in sample], dtype=np.float64).reshape(-1, N_FEATURES), np.array([r["y"] for r in sample])
     if len(set(y.tolist())) < 2:
         weights, offset, prior = np.zeros(N_FEATURES), 0.0, 0.0

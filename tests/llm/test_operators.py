@@ -492,7 +492,7 @@ def test_site_rates_match_brute_force(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r for r in site_bayes.site_quality(docs, labels).collect()}
     info = docs.select("doc_id", "source", "lang", "text").collect()
-    sample = [(r["y"], site_bayes.features(r["text"])) for r in docs.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    sample = [(r["y"], site_bayes.features(r["text"])) for r in docs.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 40), "doc_id").collect()]
     w, c, prior = site_bayes.fit_logistic(np.array([x for _, x in sample], dtype=np.float32).astype(float), np.array([y for y, _ in sample], dtype=float))
     logit = {r["doc_id"]: float(np.clip(np.dot(np.array(site_bayes.features(r["text"]), dtype=np.float32).astype(float), w) + c, -20, 20)) for r in info}
     p = {i: 1 / (1 + np.exp(-v)) for i, v in logit.items()}
@@ -552,3 +552,9 @@ def test_queries_are_registered(spark):
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_quality_rules_run_without_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (robust_outliers.robust_outliers(docs), robust_outliers.keep_regular(docs)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
