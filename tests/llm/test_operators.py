@@ -558,3 +558,16 @@ def test_quality_rules_run_without_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (robust_outliers.robust_outliers(docs), robust_outliers.keep_regular(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+
+
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, SF)
+        found = con.execute(sql)
+        columns = [d[0] for d in found.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(found.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.collect())
