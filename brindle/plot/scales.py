@@ -22,11 +22,15 @@ def ordinal_scale(domain: Sequence[str], extent: tuple[float, float]) -> tuple[C
     return lambda v: centre.get(v, extent[0]), band
 
 
+#: Up to which multiple of a power of ten which step is taken.
+STEPS = ((1.5, 1), (3.5, 2), (7.5, 5))
+
+
 def nice_step(width: float, target: int) -> float:
     """The step of 1, 2 or 5 times a power of ten that comes closest to target steps."""
     rough = width / target
     power = 10.0 ** math.floor(math.log10(rough))
-    for bound, step in ((1.5, 1), (3.5, 2), (7.5, 5)):
+    for bound, step in STEPS:
         if rough / power <= bound:
             return step * power
     return 10 * power
