@@ -224,7 +224,8 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salt = F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")
     assigned = cut(cells.withColumn("_salt", salt).join(salted, ["pair", "_salt"]).select("grp", *X).distinct())
     estimates = covariance_determinant(assigned)
-    found = rows.withColumn("_salt", salt).join(salted, ["pair", "_salt"], "left").drop("_salt", "pair", "lang")
+    spread = F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")  # copies of one text have one vector, but ids of their own
+    found = rows.withColumn("_salt", spread).join(salted, ["pair", "_salt"], "left").drop("_salt", "pair", "lang")
     judged = _distances(found, estimates)
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= _chi2_quantile(level, P), F.lit(True))
