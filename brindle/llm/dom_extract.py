@@ -352,6 +352,8 @@ class _Writer:
     def article(self) -> str:
         r, w = self.r, self
         parts = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{w.words(2, 12)}</{h}>"] if r.random() < 0.85 else []
+        if parts and r.random() < 0.2:
+            parts = [f"<header>{parts[0]}</header>"]
         size = r.choice([1, 2, 4, 8, 14])
         for _ in range(r.randint(1, size)):
             kind = r.random()
@@ -370,8 +372,10 @@ class _Writer:
                 parts.append(f"<blockquote>{r.choice([text, f'<p>{text}</p>'])}</blockquote>")
             elif kind < 0.92:
                 parts.append(f"<table><tr><td>{w.words(1, 3)}</td><td>{w.sentence()}</td></tr></table>")
-            elif kind < 0.96:
+            elif kind < 0.94:
                 parts.append(f"<div>{text}</div>")
+            elif kind < 0.96:
+                parts.append(f'<figure><img src="/{w.word()}.png"><figcaption>{w.sentence()}</figcaption></figure>')
             else:
                 parts.append(f"<pre>{text}</pre>")
             if r.random() < 0.06:
