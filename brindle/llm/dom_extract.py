@@ -436,9 +436,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(batches):
         for b in batches:
-            htmls = b.column(2).to_pylist()
-            for at in range(0, len(htmls), 32):
-                texts = main_texts([h or "" for h in htmls[at : at + 32]], forest)
+            for at in range(0, b.num_rows, 32):
+                texts = main_texts([h or "" for h in b.column(2).slice(at, 32).to_pylist()], forest)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, 32) for c in b.columns[:2]), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
-from .shared import cut, drop_cut, fresh_name
+from .shared import cut, drop_cut, fresh_name, values
 
 #: The generator polynomial of the Golay code, and the segments of a fingerprint as (shift, bits).
 GENERATOR = 0b110001110101
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t or b"") for t in values(b.column(1).cast(pa.binary()))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")

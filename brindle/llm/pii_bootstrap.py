@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, drop_cut
+from .shared import cut, drop_cut, values
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct believed instances that a pattern needs; the least score of a pattern that counts; the least confidence of an added instance.
@@ -130,7 +130,7 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [scan(t or "") for t in b.column(1).to_pylist()]
+            found = [scan(t or "") for t in values(b.column(1))]
             base = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in f[0]] for f in found], pa.list_(_SPAN))
             items = pa.array([[dict(zip(("start", "end", "instance", "seed", "shapes", "patterns"), x)) for x in f[1]] for f in found], pa.list_(_ITEM))
             yield pa.RecordBatch.from_arrays([b.column(0), base, items], ["carried", "base", "items"])
@@ -219,9 +219,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
 
     def run(batches):
         for b in batches:
-            texts = b.column(0).field(text_col).to_pylist()
-            spans = b.column(1).to_pylist()
-            new = pa.array([redact_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)], pa.string())
+            pairs = zip(values(b.column(0).field(text_col)), values(b.column(1)))
+            new = pa.array((redact_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) if s else t for t, s in pairs), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), new], ["carried", "clean"])
 
     kind = found.schema["carried"].dataType.simpleString()

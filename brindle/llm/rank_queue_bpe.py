@@ -153,9 +153,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         code = coder(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                encoded = [code.encode(t or "") for t in texts[at : at + 256]]
+            for at in range(0, b.num_rows, 256):
+                encoded = [code.encode(t or "") for t in b.column(1).slice(at, 256).to_pylist()]
                 columns = [b.column(0).slice(at, 256), pa.array([e.count(",") + 1 if e else 0 for e in encoded], pa.int64()), pa.array([sha(e.encode()) for e in encoded]), pa.array([sha(code.decode(e)) for e in encoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def values(column, step: int = 128):
+    """The Python values of an Arrow column, of which only a few are held at a time: batches of long texts are large."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, without
+from .shared import cut, values, without
 
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -55,7 +55,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = pa.array([features(t or "") for t in b.column(3).to_pylist()], pa.list_(pa.float32()))
+            x = pa.array([features(t or "") for t in values(b.column(3))], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], x], ["doc_id", "host", "path", "x"])
 
     return docs.mapInArrow(run, "doc_id long, host string, path string, x array<float>")

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .rank_queue_bpe import read_ranks
+from .shared import values
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (1024, 128, 1024)
@@ -145,7 +146,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, li
         encoding, packer = _encoding(path, pattern), Packer(limits)
         encode, end = encoding.encode_to_numpy, np.array([end_id], dtype="<u4")
         for b in batches:
-            for doc, text, prompt in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, text, prompt in zip(*map(values, b.columns)):
                 parts = [encode(x, disallowed_special=()).astype("<u4", copy=False) for x in (prompt, text) if x]
                 ids = np.concatenate([*parts, end])
                 packer.add((doc, len(ids), k := len(parts[0]) if prompt else 0), ids, k)
