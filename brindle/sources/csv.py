@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..errors import SourceError
 from ..types import UNSIGNED, make_schema, spark_type
+from .parquet import cached_read
 
 #: White space and control characters, which do not count at the ends of a value.
 SPACE = "".join(map(chr, range(33)))
@@ -49,10 +50,21 @@ def _options(delimiter: str, quote: str, header: bool, multi_line: bool) -> dict
 
 def read_csv(
     spark: SparkSession, path, schema, delimiter: str = ",", quote: str = '"', header: bool = True, skip_rows: int = 0, max_rows: int | None = None, projection: list[int] | None = None,
-    filter: Column | None = None, defaults: bool = False, multi_line: bool = False,
+    filter: Column | None = None, defaults: bool = False, multi_line: bool = False, cache_dir: str | None = None,
 ) -> DataFrame:
-    """A CSV file or folder, lazily. skip_rows: data rows left out at the start, in file order; projection: ordinals of the columns to keep. Unused columns are not parsed."""
+    """A CSV file or folder, lazily. skip_rows: data rows left out at the start, in file order; projection: ordinals of the columns to keep. Unused columns are not parsed.
+
+    cache_dir: the parsed file is kept there as Parquet, and later reads with the same schema and options come from it until the file changes.
+    """
     s = schema if isinstance(schema, T.StructType) else make_schema(schema)
+    if cache_dir is not None:
+        whole = lambda: read_csv(spark, path, s, delimiter, quote, header, skip_rows, defaults=defaults, multi_line=multi_line)
+        out = cached_read(spark, path, whole, cache_dir, repr((s.json(), delimiter, quote, header, skip_rows, defaults, multi_line)))
+        if projection is not None:
+            out = out.select(*(s[i].name for i in projection))
+        if filter is not None:
+            out = out.filter(filter)
+        return out if max_rows is None else out.limit(max_rows)
     raw = spark.read.schema(_raw_schema(s, defaults)).options(**_options(delimiter, quote, header, multi_line)).csv(path)
     if skip_rows:
         # file order: the ids of the first rows grow within a partition and with the partition

@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
-def read_parquet(spark: SparkSession, path, projection: list[str] | None = None, filter: Column | None = None) -> DataFrame:
-    """Parquet with its own schema; filter and projection reach the scan. Timestamps without a zone become UTC timestamps, decimals stay exact."""
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path, projection: list[str] | None = None, filter: Column | None = None, cache_dir: str | None = None) -> DataFrame:
+    """Parquet with its own schema; filter and projection reach the scan. Timestamps without a zone become UTC timestamps, decimals stay exact.
+
+    cache_dir keeps a copy near by, as cached_read does: for sources that are slow to read.
+    """
+    df = spark.read.parquet(path) if cache_dir is None else cached_read(spark, path, lambda: spark.read.parquet(path), cache_dir)
     local = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     if filter is not None:
         df = df.filter(filter)
@@ -41,12 +44,14 @@ def _state(spark: SparkSession, path: str) -> tuple[str, int]:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:16], max((t for _, t, _ in files), default=0)
 
 
-def cached_read(spark: SparkSession, path: str, read: Callable[[], DataFrame], cache_dir: str = "cache") -> DataFrame:
+def cached_read(spark: SparkSession, path: str, read: Callable[[], DataFrame], cache_dir: str = "cache", variant: str = "") -> DataFrame:
     """The source as read() gives it, converted to Parquet once.
 
-    The copy's name is a digest of the source's files, times and sizes, so a changed source gets a new copy; a copy counts once its job has committed.
+    The copy's name is a digest of the source's files, times and sizes and of variant, which tells ways to read it apart; so a changed source gets a new copy. A copy counts once its job
+    has committed.
     """
     key, changed = _state(spark, path)
+    key = hashlib.sha256(f"{key} {variant}".encode()).hexdigest()[:16]
     target = f"{cache_dir.rstrip('/')}/{key}.parquet"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -164,6 +164,10 @@ def test_csv_files(spark, tmp_path):
     assert rows(S.read_csv(spark, str(p), schema, delimiter=";", skip_rows=2, projection=[0])) == [(None,), (4,)]
     assert rows(S.read_csv(spark, str(p), schema, delimiter=";", defaults=True))[1] == (2, "", False, 7)
     assert rows(S.read_csv(spark, str(p), schema, delimiter=";", max_rows=1, filter=F.col("id") > 1)) == [(2, None, False, 7)]
+    cached = lambda **more: rows(S.read_csv(spark, str(p), schema, delimiter=";", cache_dir=str(tmp_path / "cache"), **more))
+    assert sorted(cached(), key=str) == sorted(got, key=str) and len(list((tmp_path / "cache").iterdir())) == 1
+    assert cached(projection=[0], filter=F.col("id") > 1) == [(2,), (4,)] and len(list((tmp_path / "cache").iterdir())) == 1
+    assert cached(defaults=True)[1][1] == "" and len(list((tmp_path / "cache").iterdir())) == 2
     S.write_csv(spark.range(3), str(tmp_path / "out"))
     assert S.read_csv(spark, str(tmp_path / "out"), {"id": "int64"}).count() == 3
 
