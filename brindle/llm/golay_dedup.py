@@ -152,13 +152,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs whose doc_id is the component of found (doc_id, component_id), one row for each; rows with a null doc_id stay."""
+    name = fresh_name(docs, "representative")
+    kept = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
+    rest = docs.filter("doc_id is not null").join(kept, docs["doc_id"] == kept[name], "left_semi")
+    one = rest.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(name) == 1).drop(name)
+    return one.unionByName(docs.filter("doc_id is null"))
+
+
 def keep_representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs with one document of each near-duplicate component, the one with the smallest doc_id; columns as they came.
 
     Of repeated rows with one doc_id one stays (the smallest text). Rows with a null doc_id stay.
     """
-    found, name = near_duplicates(docs, bucket=bucket), fresh_name(docs, "representative")
-    kept = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
-    rest = docs.filter("doc_id is not null").join(kept, docs["doc_id"] == kept[name], "left_semi")
-    one = rest.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(name) == 1).drop(name)
-    return one.unionByName(docs.filter("doc_id is null"))
+    return representatives(docs, near_duplicates(docs, bucket=bucket))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.golay_dedup import keep_representatives
 from brindle.llm.pii_bootstrap import redact
 from brindle.llm.queries import vocabulary
 from brindle.llm.robust_outliers import keep_regular
 from brindle.llm.shared import cut
+from brindle.llm.shingle_dedup import keep_distinct
 from brindle.llm.site_bayes import keep_good
 from brindle.llm.vector_packing import pack_documents
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return keep_representatives(docs)
+    """One document of each component of near copies stays: five-word shingles, similarity 0.8."""
+    return keep_distinct(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import dom_extract, golay_dedup, kdtree_search, pii_bootstrap, piece_counts, queries, rank_queue_bpe, robust_outliers, site_bayes, vector_packing, window_lm
+from brindle.llm import dom_extract, golay_dedup, kdtree_search, pii_bootstrap, piece_counts, queries, rank_queue_bpe, robust_outliers, shingle_dedup, site_bayes, vector_packing, window_lm
 from brindle.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -526,6 +526,63 @@ def test_site_quality_edges(spark):
 # the pipeline
 
 
+def brute_copies(rows):
+    """Components of (doc_id, text) over the Jaccard similarity of five-word shingles, without null ids."""
+    root, sets = {}, []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, text in rows:
+        if i is not None:
+            words = [w.lower() for w in SPACE.findall(text or "")]
+            k = min(5, len(words))
+            root[i] = i
+            sets.append((i, {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()))
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            common = len(a & b)
+            if common * 5 >= (len(a) + len(b) - common) * 4:
+                i_, j_ = find(i), find(j)
+                root[max(i_, j_)] = min(i_, j_)
+    return {i: find(i) for i in root}
+
+
+def edited_documents(spark):
+    """Families of texts of which some words are changed, so that similarities lie on both sides of the limit; with copies and odd rows."""
+    rng, rows = random.Random(8), []
+    for _ in range(12):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 30, 200]))]
+        for _ in range(12):
+            now = list(text)
+            for _ in range(rng.randint(0, 1 + len(text) // 25)):
+                now[rng.randrange(len(now))] = f"w{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(now), "en", "a"))
+    rows += [rows[3], (5, rows[40][1], "en", "a"), (None, rows[0][1], "en", "a"), (900, None, "en", "a"), (901, " ", "en", "a")]
+    return documents(spark, rows)
+
+
+@pytest.mark.parametrize("bucket", [2, 128])
+def test_near_copies_reach_the_similarity(spark, bucket):
+    docs = edited_documents(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_copies(rows)
+    assert collect(shingle_dedup.near_copies(docs, bucket=bucket), "doc_id", "component_id") == sorted(((i, want.get(i)) for i, _ in rows), key=lambda t: tuple((x is not None, x) for x in t))
+    assert shingle_dedup.near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_removes_near_copies(spark):
+    import corpus_pipeline
+
+    docs = edited_documents(spark)
+    out = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF)
+    want = brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r[0] for r in out.select("doc_id").collect() if r[0] is not None) == sorted(set(want.values()))
+    assert out.filter("doc_id is null").count() == 1 and out.columns == docs.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
