@@ -18,7 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed values of HTML: elements without content, of raw text, of blocks, and start tags that end an open element of the same group.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp template svg math select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+FOREIGN = frozenset("svg math".split())
+#: Foreign elements that hold HTML again, and HTML start tags that end foreign elements otherwise.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -49,7 +53,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         tags, parents, attrs, runs = self.tags, self.parents, self.attrs, self.runs
-        stack, at, end, tag_at = [0], 0, len(html), _TAG
+        stack, at, end, tag_at, foreign = [0], 0, len(html), _TAG, False
         while at < end:
             lt = html.find("<", at)
             if lt < 0:
@@ -84,6 +88,11 @@ class Page:
                         if done == name:
                             break
                 continue
+            inside = foreign and self._foreign(stack)
+            if inside and name in BREAKOUT:
+                del stack[inside:]
+                inside = 0
+            foreign = foreign or name in FOREIGN
             if name in CLOSE_P:
                 self._end(stack, {"p"}, {"button", "td", "th", "table"})
             if name in CLOSES:
@@ -95,7 +104,7 @@ class Page:
             tags.append(name)
             parents.append(stack[-1])
             attrs.append(m.group(3))
-            if name in RAW:
+            if name in RAW and not (inside and m.group(3).endswith("/")):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 if close is None:
                     break
@@ -104,6 +113,17 @@ class Page:
             elif name not in VOID and not (m.group(3).endswith("/") and name not in BLOCKS and name != "a"):
                 stack.append(len(tags) - 1)
 
+    def _foreign(self, stack: list[int]) -> int:
+        """The place of the outermost open element of the foreign content that a start tag is in; 0 in HTML."""
+        found = 0
+        for i in range(len(stack) - 1, 0, -1):
+            t = self.tags[stack[i]]
+            if t in FOREIGN:
+                found = i
+            elif t in INTEGRATION or found:
+                break
+        return found
+
     def _end(self, stack: list[int], names: set, stops: set) -> None:
         """Ends the open elements from the outermost of names on that no element of stops separates from here."""
         cut = None
@@ -249,7 +269,10 @@ def tied_elements(page: Page) -> np.ndarray:
         if run is not None and run[1].strip():
             flowing[run[0]] = True
     tied = np.zeros(n, dtype=bool)
+    math = np.zeros(n, dtype=bool)
     for i in range(1, n):
+        math[i] = page.tags[i] == "math" or math[page.parents[i]]
+        flowing[i] |= math[i]
         tied[i] = page.tags[i] not in BLOCKS and page.tags[i] not in RAW and flowing[page.parents[i]]
     return tied
 

@@ -463,6 +463,16 @@ def test_extraction_of_pages(spark):
     assert dom_extract.extract_pages(odd).count() == 6 and dom_extract.extract_pages(odd.limit(0)).count() == 0
 
 
+def test_extraction_goes_on_after_foreign_and_open_elements(spark):
+    paragraph = "<p>The council met on Monday, and after a long debate it agreed on the plan for the old harbour, which had been open for years.</p>"
+    odd = ['<svg class="i"/>', "<math/>", '<svg class="i">', "<svg><g>", "<svg><style/></svg>", "<noscript>", "<template></template>", "<svg><path d='M0'/></svg>", "<select><option></select>", "<select>"]
+    rows = [(k, f"<html><body><article>{paragraph * 3}{x}{paragraph.replace('council', 'later council') * 3}</article></body></html>") for k, x in enumerate(odd)]
+    rows.append((99, f"<html><body><article>{paragraph * 3}<p>It follows that <math><mi>alpha</mi><mo>=</mo><mn>7</mn></math> holds in all cases, as was shown.</p>{paragraph * 3}</article></body></html>"))
+    got = {r["page_id"]: r["text"] for r in dom_extract.extract_pages(spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))).collect()}
+    assert {k: got[k].count("later council") for k in range(len(odd))} == dict.fromkeys(range(len(odd)), 3)
+    assert "It follows that alpha=7 holds in all cases" in got[99]
+
+
 def test_decoding_is_the_best_consistent_labelling():
     from itertools import product
 
