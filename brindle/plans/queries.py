@@ -496,6 +496,16 @@ def explode_json(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", text.alias("item")).transform(O.explode_json, "item")
 
 
+@query(
+    """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['1', 'b'] WHEN 1 THEN ['plain'] WHEN 2 THEN CAST([] AS VARCHAR[]) ELSE [NULL] END) AS item FROM events"""
+)
+def explode_json_all(spark, sf_dir):
+    """The same over the whole table."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, '[1, "b"]').when(k == 1, "plain").when(k == 2, "[]")
+    return table(spark, sf_dir, "events").select("event_id", text.alias("item")).transform(O.explode_json, "item")
+
+
 @query(None)
 def sample_bernoulli(spark, sf_dir):
     return O.sample(table(spark, sf_dir, "orders"), 0.1, seed=7).select("o_orderkey")
