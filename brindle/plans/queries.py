@@ -364,6 +364,13 @@ def join_fan_out(spark, sf_dir):
     return O.group_by(O.join(e.filter("event_id % 50 = 0").select("k"), e.filter("event_id % 40 = 0").select("k"), "k"), "k", {"pairs": E.count()})
 
 
+@query("SELECT a.k, COUNT(*) AS pairs FROM (SELECT user_id AS k FROM events) a JOIN (SELECT user_id AS k FROM events) b ON a.k = b.k GROUP BY a.k")
+def join_fan_out_all(spark, sf_dir):
+    """Every event with every event of its user."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
+    return O.group_by(O.join(e, e, "k"), "k", {"pairs": E.count()})
+
+
 @query("SELECT n_name, r_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL ORDER BY revenue DESC, n_name LIMIT 5")
 def join_chain_group_sort_limit(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
