@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
@@ -26,11 +27,10 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
+_P, _P_STOPS, _TABLE = {"p"}, {"button", "td", "th", "table"}, {"table"}
 CLOSE_P = BLOCKS - frozenset("body button caption dd dt head html legend li optgroup option summary tbody td tfoot th thead tr".split())
 
 FLOWING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre caption figcaption summary".split())
-#: By how much odds are raised where a page would be left without text.
-RAISES = (1.0, 2.0)
 
 #: Attribute tokens that speak for and against main text.
 NEGATIVE = frozenset("ad ads advert adverts advertisement alert aside banner bar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus dialog flyout foot footer form gdpr head header legal links login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar top tracking widget".split())
@@ -44,6 +44,50 @@ _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _Open:
+    """The open elements, innermost last, and where each name is open, so that no tag needs a walk over the whole stack."""
+
+    def __init__(self) -> None:
+        self.elements, self.names, self.foreign, self.places = [0], ["#root"], [0], {}
+
+    def push(self, element: int, name: str) -> None:
+        at = len(self.names)
+        inner = self.names[-1] in FOREIGN
+        self.foreign.append((self.foreign[-1] if inner else at) if name in FOREIGN else 0)  # the outermost of foreign elements right above one another
+        self.elements.append(element)
+        self.names.append(name)
+        self.places.setdefault(name, []).append(at)
+
+    def cut(self, at: int) -> bool:
+        """Ends the elements from place at on; whether a block is among them."""
+        block = False
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.elements.pop()
+            self.foreign.pop()
+            self.places[name].pop()
+            block |= name in BLOCKS
+        return block
+
+    def last(self, names) -> int:
+        """The innermost place where one of names is open; 0 if none is."""
+        places = self.places
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
+    def outermost(self, names, stops) -> int:
+        """The outermost place where one of names is open with no element of stops inside it; 0 if there is none."""
+        if not self.last(names):
+            return 0
+        stop = self.last(stops - names)
+        found = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect_right(p, stop)) < len(p)]
+        return min(found, default=0)
+
+    def foreign_root(self) -> int:
+        """The place of the outermost open element of the foreign content that a start tag is in; 0 in HTML."""
+        at = self.last(FOREIGN)
+        return self.foreign[at] if at > self.last(INTEGRATION) else 0
+
+
 class Page:
     """The elements of a page in document order, and its text runs as (element, text) with None where a block begins or ends."""
 
@@ -53,13 +97,13 @@ class Page:
 
     def _parse(self, html: str) -> None:
         tags, parents, attrs, runs = self.tags, self.parents, self.attrs, self.runs
-        stack, at, end, tag_at, foreign = [0], 0, len(html), _TAG, False
+        stack, at, end, tag_at, foreign = _Open(), 0, len(html), _TAG, False
         while at < end:
             lt = html.find("<", at)
             if lt < 0:
                 lt = end
             if lt > at:
-                runs.append((stack[-1], unescape(html[at:lt])))
+                runs.append((stack.elements[-1], unescape(html[at:lt])))
             if lt == end:
                 break
             if html.startswith("<!--", lt):
@@ -75,34 +119,30 @@ class Page:
                 tag_at = _PLAIN_TAG  # an open quote: from here on quotes do not count
                 m = tag_at.match(html, lt)
             if m is None:
-                runs.append((stack[-1], "<"))
+                runs.append((stack.elements[-1], "<"))
                 at = lt + 1
                 continue
             at, name = m.end(), m.group(2).lower()
             if m.group(1):
-                if name == "p" or any(tags[i] == name for i in stack):
-                    while len(stack) > 1 and any(tags[i] == name for i in stack):
-                        done = tags[stack.pop()]
-                        if done in BLOCKS:
-                            runs.append(None)
-                        if done == name:
-                            break
+                place = stack.last((name,))
+                if place and stack.cut(place):
+                    runs.append(None)
                 continue
-            inside = foreign and self._foreign(stack)
+            inside = foreign and stack.foreign_root()
             if inside and name in BREAKOUT:
-                del stack[inside:]
+                stack.cut(inside)
                 inside = 0
             foreign = foreign or name in FOREIGN
             if name in CLOSE_P:
-                self._end(stack, {"p"}, {"button", "td", "th", "table"})
+                self._end(stack, _P, _P_STOPS)
             if name in CLOSES:
-                self._end(stack, CLOSES[name], STOPS.get(name, {"table"}))
+                self._end(stack, CLOSES[name], STOPS.get(name, _TABLE))
             if name in BLOCKS:
                 runs.append(None)
             elif name == "br":
-                runs.append((stack[-1], "\n"))
+                runs.append((stack.elements[-1], "\n"))
             tags.append(name)
-            parents.append(stack[-1])
+            parents.append(stack.elements[-1])
             attrs.append(m.group(3))
             if name in RAW and not (inside and m.group(3).endswith("/")):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
@@ -111,32 +151,12 @@ class Page:
                 gt = html.find(">", close.end())
                 at = end if gt < 0 else gt + 1
             elif name not in VOID and not (m.group(3).endswith("/") and name not in BLOCKS and name != "a"):
-                stack.append(len(tags) - 1)
+                stack.push(len(tags) - 1, name)
 
-    def _foreign(self, stack: list[int]) -> int:
-        """The place of the outermost open element of the foreign content that a start tag is in; 0 in HTML."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tags[stack[i]]
-            if t in FOREIGN:
-                found = i
-            elif t in INTEGRATION or found:
-                break
-        return found
-
-    def _end(self, stack: list[int], names: set, stops: set) -> None:
-        """Ends the open elements from the outermost of names on that no element of stops separates from here."""
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tags[stack[i]]
-            if t in names:
-                cut = i
-            elif t in stops:
-                break
-        if cut is not None:
-            if any(self.tags[i] in BLOCKS for i in stack[cut:]):
-                self.runs.append(None)
-            del stack[cut:]
+    def _end(self, stack: _Open, names: set, stops: set) -> None:
+        place = stack.outermost(names, stops)
+        if place and stack.cut(place):
+            self.runs.append(None)
 
     def text(self, kept) -> str:
         """Blocks of the kept elements, white space inside each turned into one space, joined by line ends."""
@@ -161,9 +181,9 @@ def _tokens(attrs: str) -> set[str]:
 def node_features(page: Page) -> np.ndarray:
     """A row of statistics for each element of the page."""
     tags, parents, n = page.tags, page.parents, len(page.tags)
-    own, words, points, links, nodes, controls, paras = (np.zeros(n) for _ in range(7))
-    first = np.full(n, -1.0)
-    total = 0.0
+    own, words, points, links, controls, paras, link_text = ([0] * n for _ in range(7))
+    first = [-1] * n
+    total = 0
     for run in page.runs:
         if run is None:
             continue
@@ -176,24 +196,21 @@ def node_features(page: Page) -> np.ndarray:
             own[i] += size
             words[i] += text.count(" ") + 1
             points[i] += text.count(".") + text.count(",")
-    subtree = own.copy()
-    nodes += 1
-    children, index, same, nth = np.zeros(n), np.zeros(n), np.zeros(n), {}
-    depth, group = np.zeros(n), np.array([GROUPS.get(t, 10) for t in tags], dtype=float)
-    neg, pos, neg_above, pos_above = (np.zeros(n) for _ in range(4))
+    subtree, nodes = list(own), [1] * n
+    children, index, same, nth = [0] * n, [0] * n, [0] * n, {}
+    depth, group = [0] * n, [GROUPS.get(t, 10) for t in tags]
+    neg, pos, neg_above, pos_above = ([0] * n for _ in range(4))
     for i in range(1, n):
-        p = parents[i]
+        p, t = parents[i], tags[i]
         depth[i] = depth[p] + 1
         index[i] = children[p]
         children[p] += 1
-        nth[p, tags[i]] = same[i] = nth.get((p, tags[i]), 0) + 1
+        nth[p, t] = same[i] = nth.get((p, t), 0) + 1
         found = _tokens(page.attrs[i])
-        neg[i] = len(found & NEGATIVE) + 2 * (tags[i] in NEG_TAGS)
-        pos[i] = len(found & POSITIVE) + 2 * (tags[i] in ("article", "main"))
+        neg[i] = len(found & NEGATIVE) + 2 * (t in NEG_TAGS)
+        pos[i] = len(found & POSITIVE) + 2 * (t in ("article", "main"))
         neg_above[i] = neg_above[p] + neg[p]
         pos_above[i] = pos_above[p] + pos[p]
-    links[[i for i in range(n) if tags[i] == "a"]] = 0
-    link_text = np.zeros(n)
     for i in range(n - 1, 0, -1):
         p, t = parents[i], tags[i]
         if t == "a":
@@ -205,10 +222,20 @@ def node_features(page: Page) -> np.ndarray:
             paras[i] += 1
         if first[i] >= 0 and (first[p] < 0 or first[i] < first[p]):
             first[p] = first[i]
-        for a in (subtree, words, points, links, nodes, controls, paras, link_text):
-            a[p] += a[i]
+        subtree[p] += subtree[i]
+        words[p] += words[i]
+        points[p] += points[i]
+        links[p] += links[i]
+        nodes[p] += nodes[i]
+        controls[p] += controls[i]
+        paras[p] += paras[i]
+        link_text[p] += link_text[i]
     up = np.array([max(p, 0) for p in parents])
-    kinds = np.array([nth.get((parents[i], tags[i]), 1) for i in range(n)], dtype=float)
+    kinds = [nth.get((parents[i], tags[i]), 1) for i in range(n)]
+    (own, words, points, links, controls, paras, link_text, first, subtree, nodes, children, index, same, depth, group, neg, pos, neg_above, pos_above, kinds) = (
+        np.array(x, dtype=float)
+        for x in (own, words, points, links, controls, paras, link_text, first, subtree, nodes, children, index, same, depth, group, neg, pos, neg_above, pos_above, kinds)
+    )
     many = np.maximum(subtree, 1)
     return np.column_stack([
         depth, group, group[up], neg, pos, np.minimum(neg_above, 6), np.minimum(pos_above, 6), neg[up], pos[up],
@@ -221,7 +248,7 @@ def node_features(page: Page) -> np.ndarray:
 class Forest:
     """Gradient-boosted symmetric trees with logistic loss: each level of a tree asks one question of all its leaves."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 2.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 140, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 2.0) -> None:
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         codes = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)])
         n, k = x.shape
@@ -296,12 +323,8 @@ def decode(parents: list[int], odds: np.ndarray, tied: np.ndarray | None = None)
 
 
 def decoded_text(page: Page, odds: np.ndarray) -> str:
-    """The text of the best labelling. A page is expected to have main text: where nothing is kept, the odds are raised a little."""
-    tied = tied_elements(page)
-    for raised in (0.0, *RAISES):
-        if text := page.text(decode(page.parents, odds + raised, tied)):
-            return text
-    return ""
+    """The text of the best labelling; empty where no element is more likely main text than not."""
+    return page.text(decode(page.parents, odds, tied_elements(page)))
 
 
 # generated pages for training
@@ -372,7 +395,8 @@ class _Writer:
             tag, pool, body = r.choice(["div", "nav", "p"]), ["breadcrumb", "breadcrumbs"], " &gt; ".join(f'<a href="/">{w.words(1, 2)}</a>' for _ in range(r.randint(2, 4)))
         return f'<{tag}{w.name(pool) if r.random() < 0.8 or tag in ("div", "section", "p", "ul", "ol") else ""} data-y="0">{body}</{tag}>'
 
-    def article(self) -> str:
+    def parts(self) -> str:
+        """The blocks of an article."""
         r, w = self.r, self
         parts = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{w.words(2, 12)}</{h}>"] if r.random() < 0.85 else []
         if parts and r.random() < 0.2:
@@ -403,23 +427,32 @@ class _Writer:
                 parts.append(f"<pre>{text}</pre>")
             if r.random() < 0.06:
                 parts.append(w.boilerplate())
+        return "".join(parts)
+
+    def article(self) -> str:
+        r, w = self.r, self
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
         name = w.name(["article", "content", "main", "post", "entry", "story", "body", "text"]) if tag in ("div", "section") or r.random() < 0.3 else ""
-        return f'<{tag}{name} data-y="1">{"".join(parts)}</{tag}>'
+        return f'<{tag}{name} data-y="1">{w.parts()}</{tag}>'
 
     def page(self) -> str:
+        """A page; some have no main text, and in some it stands in the body with no element around it."""
         r, w = self.r, self
         before, after = ([w.boilerplate() for _ in range(r.randint(0, 4))] for _ in range(2))
-        body = w.article()
+        kind = r.random()
+        bare = ' data-y="1"' if kind < 0.1 else ""
+        body = w.parts() if bare else "" if kind < 0.22 else w.article()
         inside = [w.boilerplate() for _ in range(r.choice([0, 0, 1, 2]))]
         both = [body, *inside]
         r.shuffle(both)
         middle = "".join(both)
-        for _ in range(r.choice([0, 0, 1, 2])):
+        for _ in range(0 if bare else r.choice([0, 0, 1, 2])):
             middle = f"<div{w.name(['content', 'main', 'page', 'container', 'wrapper'])}>{middle}</div>"
         script = '<script>var t="</p>";</script>' * r.randint(0, 2)
         end = "</body></html>" if r.random() < 0.85 else ""
-        return f"<!DOCTYPE html><html><head><title>{w.words(1, 8)}</title><style>p{{}}</style>{script}</head><body>{''.join(before)}{middle}{''.join(after)}{script}{end}"
+        if not bare and r.random() < 0.15:  # a fragment, often of one part alone
+            return "".join([*before[: r.randint(0, 2)], middle, *after[: r.randint(0, 2)]])
+        return f"<!DOCTYPE html><html><head><title>{w.words(1, 8)}</title><style>p{{}}</style>{script}</head><body{bare}>{''.join(before)}{middle}{''.join(after)}{script}{end}"
 
 
 def _labels(page: Page) -> np.ndarray:
@@ -436,7 +469,7 @@ def _labels(page: Page) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained_forest(pages: int = 800, seed: int = 7) -> Forest:
+def trained_forest(pages: int = 2400, seed: int = 7) -> Forest:
     """The forest for generated pages; the same on every run."""
     rng = random.Random(seed)
     made = [Page(_Writer(rng).page()) for _ in range(pages)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,8 +21,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, PATTERN_SCORE, CONFIDENCE = 3, 4, 0.6, 0.9
 #: Weight against a pattern of an instance that is not known but has the kind's form; all other instances that are not of the kind have weight 1.
 UNKNOWN = 0.2
-#: Characters before and after a string in which its neighbouring words are looked up.
-REACH = 64
+#: Neighbouring words longer than this stand in patterns by a digest of the whole word.
+SPELLED = 64
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -59,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text) is None:
         return out
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := m.group().replace(" ", "").replace("-", "")) <= 19 and _luhn(d):
             out.append((2, m.start(), m.end()))
@@ -80,10 +81,25 @@ def _shapes(s: str) -> int:
     )
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Neighbouring words, lower case: one and two to the left, one to each side, two to the right."""
-    left = text[max(0, start - REACH) : start].lower().split()[-2:]
-    right = text[end : end + REACH].lower().split()[:2]
+def _spelled(word: str) -> str:
+    return word.lower() if len(word) <= SPELLED else "#" + hashlib.sha256(word.lower().encode("utf-8", "surrogatepass")).hexdigest()[:32]
+
+
+def _neighbours(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[str], list[str]]]:
+    """Of each span, up to two words before and two after it. Another span next to it counts as one word, `<>`, and words behind that are not read:
+    so the stretches between spans are each read a bounded number of times, however long their words are."""
+    starts, ends = sorted(s for s, _ in spans), sorted(e for _, e in spans)
+    out = []
+    for s, e in spans:
+        i, j = bisect_right(ends, s) - 1, bisect_left(starts, e)
+        before, after = text[ends[i] if i >= 0 else 0 : s], text[e : starts[j] if j < len(starts) else len(text)]
+        left, right = [_spelled(w) for w in before.rsplit(None, 2)[-2:]], [_spelled(w) for w in after.split(None, 2)[:2]]
+        out.append(((["<>"] * (i >= 0) + left)[-2:], (right + ["<>"] * (j < len(starts)))[:2]))
+    return out
+
+
+def _patterns(left: list[str], right: list[str]) -> list[str]:
+    """Patterns of neighbouring words: one and two to the left, one to each side, two to the right."""
     out = []
     if left:
         out.append(f"l:{left[-1]}")
@@ -101,7 +117,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     spans = base_spans(text)
     if not spans and _DIGIT.search(text) is None and "@" not in text:
         return spans, []
-    items = [(s, e, text[s:e].lower(), k, 1 << k, _patterns(text, s, e)) for k, s, e in spans]
+    items = [(s, e, text[s:e].lower(), k, 1 << k) for k, s, e in spans]
     covered = sorted((s, e) for _, s, e in spans)
     i = 0
     for m in _CANDIDATE.finditer(text):
@@ -116,8 +132,9 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
             continue
         shapes = _shapes(text[s:e])
         if shapes:
-            items.append((s, e, text[s:e].lower(), -1, shapes, _patterns(text, s, e)))
-    return spans, items
+            items.append((s, e, text[s:e].lower(), -1, shapes))
+    around = _neighbours(text, [x[:2] for x in items])
+    return spans, [(*x, _patterns(*n)) for x, n in zip(items, around)]
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
