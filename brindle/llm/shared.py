@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +34,39 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in rejected (doc_id); rows with a null id stay. Other columns may have any names."""
-    name = fresh_name(docs, "rejected")
-    bad = cut(rejected.filter("doc_id is not null").select(rejected["doc_id"].alias(name)).distinct())
-    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")
+_ROW_WISE = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _of_one_scan(docs: DataFrame) -> bool:
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.getClass().getSimpleName() in _ROW_WISE:
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, and its name, that tells its rows apart and is the same on each evaluation, whatever the ids are.
+
+    Rows of Parquet files are told apart by their file and place in it, which needs no copy; any other table is written first, numbered.
+    """
+    name = fresh_name(docs, "row_key")
+    if _of_one_scan(docs):
+        place = docs.metadataColumn("_metadata")
+        try:
+            keyed = docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")))
+        except AnalysisException:  # files of another format have no row numbers
+            keyed = None
+        if keyed is not None:
+            return keyed, name
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return cut(docs.withColumn(name, number)), name
+
+
+def without(keyed: DataFrame, name: str, rejected: DataFrame) -> DataFrame:
+    """The rows of keyed (with_row_key's table and column) whose key is not in rejected (a column of that name), without the key."""
+    bad = cut(rejected.select(F.col(name).alias("rejected")).select("rejected.file", "rejected.row"))
+    key = keyed[name]
+    return keyed.join(bad, (key["file"] == bad["file"]) & (key["row"] == bad["row"]), "left_anti").drop(name)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,11 +78,30 @@ def cut(df: DataFrame) -> DataFrame:
     gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _written.append(path)
+    return out
+
+
+#: Tables of cut() that this process has written.
+_written: list[str] = []
+
+
+def cut_alone(spark: SparkSession, make) -> DataFrame:
+    """cut(make()), after which all other tables that make() or its plan wrote are deleted."""
+    before = len(_written)
+    out = cut(make())
+    for path in _written[before:]:
+        if path != out._cut_path:
+            _delete(spark, path)
+    _written[before:] = [out._cut_path]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes a table of cut() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._cut_path)

@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of five-word shingles, at least 0.8.
+"""Near copies by the Jaccard similarity of five-word shingles, at least 0.8: the Golay-keyed fingerprints of operator 2, and the links that these cannot reach.
 
-Candidates share one of 32 keys, each of five minima over the shingles' hashes: a pair at 0.8 has none in common with probability (1 - 0.8^5)^32 = 3e-6, a more similar one
-less. Each candidate is verified with the whole sets of shingles, so no link is below the limit.
+At similarity 0.8 the SimHash of the shingles differs in 10 of 64 bits on average (0.15 a bit), so that Golay keys, or any keys over segments of the fingerprint, would have to number thousands
+a document to find such pairs. Fingerprints at two or fewer bits therefore give only the closest candidates. All others come from 32 keys of five minima over the shingles' hashes each:
+a pair at 0.8 shares two or more but with probability 5e-5, a more similar one with more certainty. Every candidate is verified with the whole sets of shingles, so no link is below the limit.
 """
 
 from __future__ import annotations
@@ -12,25 +13,26 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .golay_dedup import BUCKET, representatives
-from .shared import cut, drop_cut, values
+from .golay_dedup import BUCKET, fingerprint_links
+from .shared import cut, drop_cut, values, with_row_key, without
 
-#: Words of a shingle, the limit as a fraction, and the keys of a document with the minima of each.
+#: Words of a shingle, the limit as a fraction, the keys of a document with the minima of each, and the keys that candidates share.
 WIDTH = 5
 LIMIT = (4, 5)
-BANDS, ROWS = 32, 5
+BANDS, ROWS, SHARED = 32, 5, 2
 #: So many words keep their hash in a worker, which saves repeated work and changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _RNG = np.random.default_rng(42)
 _FACTORS, _TERMS = (_RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_BITS = np.array([1 << b for b in range(64)], dtype=np.uint64)
 
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
+        if len(word) <= 32:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = code
@@ -71,105 +73,158 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(found), 8192):
+        counts += np.unpackbits(found[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[2 * counts > len(found)].sum(dtype=np.uint64).view(np.int64))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of shingles reach the limit; two empty ones do."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common * LIMIT[1] >= (len(a) + len(b) - common) * LIMIT[0]
 
 
-def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the set of shingles, its size, its keys). Null text counts as empty."""
+def _prints(rows: DataFrame) -> DataFrame:
+    """rows (id, file, row, text) with the digest of the set of shingles, its size, fingerprint and keys in place of the text. Null text counts as empty."""
 
     def run(batches):
         for b in batches:
-            digests, sizes, keys = [], [], []
-            for t in values(b.column(1).cast(pa.binary())):
-                found = shingles(t or b"")
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sizes.append(len(found))
-                keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "keys"]
-            )
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                digests, sizes, fps, keys = [], [], [], []
+                for t in values(part.column(3).cast(pa.binary())):
+                    found = shingles(t or b"")
+                    digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    sizes.append(len(found))
+                    fps.append(set_fingerprint(found))
+                    keys.append(band_keys(found))
+                new = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *new], ["id", "file", "row", "digest", "n", "fp", "keys"])
+
+    return rows.mapInArrow(run, "id long, file long, row long, digest binary, n long, fp long, keys array<long>")
+
+
+def _enough():
+    """Whether the numbers of shingles allow the limit."""
+    return (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]) & (F.col("a") != F.col("b"))
+
+
+def _sides(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in more))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>")
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """(a, b), a < b: rows with one key whose numbers of shingles allow the limit; left has a, n_a and right b, n_b."""
-    enough = (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]) & (F.col("a") != F.col("b"))
-    return left.join(right, on).filter(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _views(column: pa.Array):
+    """The arrays of unsigned longs in a binary column, one at a time."""
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), np.uint64) if x.as_buffer() is not None else np.empty(0, np.uint64)
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that reach the limit. docs: doc_id and text; a pair with several texts of one id needs one that does."""
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the limit. nodes: node, file, row; texts: file, row, text."""
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"").tobytes() for t in values(b.column(1).cast(pa.binary()))], pa.binary())], ["node", "found"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t or b"").tobytes() for t in values(part.column(1).cast(pa.binary()))], pa.binary())], ["node", "found"])
 
     def run(batches):
         for b in batches:
-            same = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(values(b.column(2)), values(b.column(3)))]
+            same = [similar(x, y) for x, y in zip(_views(b.column(2)), _views(b.column(3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    found = cut(docs.join(ids, docs["doc_id"] == ids["node"]).select("node", "text").distinct().mapInArrow(sets, "node long, found binary"))
+    asked = cut(_ordered(pairs).distinct())
+    ids = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(nodes.select("node", "file", "row").join(ids, "node"))
+    found = cut(texts.join(wanted, ["file", "row"]).select("node", "text").mapInArrow(sets, "node long, found binary"))
     a, b = (found.select(F.col("node").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
-    links = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long"))
-    drop_cut(ids)
-    drop_cut(found)
+    links = cut(asked.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long"))
+    for x in (asked, wanted, found):
+        drop_cut(x)
     return links
 
 
-def shingle_links(keyed: DataFrame, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): verified links that connect what the candidates of keyed (key, node, n) connect.
+def shingle_links(keyed: DataFrame, close: DataFrame, nodes: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): verified links that connect what the candidates connect: the pairs of close, and nodes that share SHARED keys of keyed (key, node, n).
 
-    Buckets of up to `bucket` nodes give every pair. In a larger one all nodes are first compared with its smallest; then those
-    outside the commonest component of the bucket are compared with all nodes of other components. So a hot bucket of near copies
-    costs linear rows, and a link is only left out between nodes that others connect.
+    Buckets of up to `bucket` nodes give every pair. In a larger one all nodes are first compared with its smallest; those outside the commonest component of the bucket are then compared with
+    the nodes of other components that share a second key with them. So a hot bucket of near copies costs linear rows, one of texts that only share a passage falls apart by their other
+    keys, and a link is only left out between nodes that others connect.
     """
     sizes = cut(keyed.groupBy("key").count().filter("count > 1"))
-    of = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-    small = cut(keyed.join(sizes.filter(F.col("count") <= bucket), "key").select("key", "node", "n"))
-    hot = cut(keyed.join(sizes.filter(F.col("count") > bucket), "key").select("key", "node", "n"))
+    shared = keyed.join(sizes, "key")
+    small = cut(shared.filter(F.col("count") <= bucket).select("key", "node", "n"))
+    hot = cut(shared.filter(F.col("count") > bucket).select("key", "node", "n"))
     first = cut(hot.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "m.*"))
-    pairs = cut(_pairs(of(small, "a"), of(small, "b"), "key").union(_pairs(of(first, "a"), of(hot, "b"), "key")).distinct())
-    links = _verified(pairs, docs)
+    met = _sides(small, "a").join(_sides(small, "b"), "key").filter((F.col("a") < F.col("b")) & _enough())
+    # a pair that shares a hot key as well is judged there
+    twice = met.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+    star = _sides(first, "a").join(_sides(hot, "b"), "key").filter(_enough()).select("a", "b")
+    links = _verified(twice.union(star).union(close), nodes, texts)
+    for x in (sizes, small, first):
+        drop_cut(x)
     if hot.isEmpty():
         return links
     roots = connected_components(links)
     rooted = cut(hot.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    main = cut(rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.root").alias("main")))
-    split = rooted.join(main, "key")
-    a = cut(split.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")))
-    b = split.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = cut(_pairs(a, b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("root_a") != F.col("root_b"))))
-    return links.union(_verified(rest, docs))
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id reachable over links of similarity 0.8 and more).
-
-    Words are those of the fingerprints; texts without words are copies of one another. Null text counts as empty. Repeated rows each give
-    a row; different texts of one id connect. Rows with a null id take no part in linking and have a null component. Other columns of docs are not read.
-    """
-    prints = cut(_prints(docs, id_col, text_col))
-    known = prints.filter("doc_id is not null")
-    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    of = cut(known.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node"))
-    several = of.groupBy("doc_id").agg(F.min("node").alias("m"), F.max("node").alias("n")).filter("m < n").select("doc_id", "m")
-    keyed = cut(nodes.select(F.explode("keys").alias("key"), "node", "n"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    links = shingle_links(keyed, texts, bucket).union(of.join(several, "doc_id").select(F.col("node").alias("a"), F.col("m").alias("b")))
+    main = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.root").alias("main"))
+    split = cut(rooted.join(main, "key"))
+    # each row of a bucket under every other key of its node
+    others = keyed.select("node", F.col("key").alias("second")).join(split.select("node").distinct(), "node")
+    second = cut(split.join(others, "node").filter("key != second").select(F.xxhash64("key", "second").alias("key"), "node", "n", "root", (F.col("root") != F.col("main")).alias("aside")))
+    asked = second.filter("aside").select("key").distinct()
+    few = cut(second.join(asked, "key", "left_semi"))
+    a, b = _sides(few.filter("aside"), "a", "root"), _sides(few, "b", "root")
+    rest = a.join(b, "key").filter(_enough() & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    more = _verified(rest, nodes, texts)
+    for x in (hot, roots, rooted, split, second, few):
+        drop_cut(x)
+    return links.union(more)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """docs with a row key and its name; the prints of all rows; and (digest, root): the component of each set of shingles."""
+    keyed, name = with_row_key(docs)
+    rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(f"{name}.file").alias("file"), F.col(f"{name}.row").alias("row"), F.col(text_col).alias("text"))
+    prints = cut(_prints(rows))
+    order = F.struct(F.col("id").isNull().alias("lacks"), "id", "file", "row")
+    nodes = cut(prints.groupBy("digest").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("digest", "least.file", "least.row", "n", "fp", "keys").withColumn("node", F.monotonically_increasing_id()))
+    fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    same = nodes.select("fp", "node").join(fps.withColumnRenamed("node", "a"), "fp").filter("a != node").select("a", F.col("node").alias("b"))
+    close = cut(fingerprint_links(fps).union(same))
+    band = cut(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    links = shingle_links(band, close, nodes, rows.select("file", "row", "text"), bucket)
     roots = connected_components(links)
-    out = of.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
-    return out.union(prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+    classes = cut(nodes.select("digest", "node").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
+    for x in (fps, close, band, nodes, roots):
+        drop_cut(x)
+    return keyed, name, prints.drop("keys", "fp", "n"), classes
 
 
-def keep_distinct(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """docs with one document of each component of near copies, the one with the smallest doc_id; columns as they came.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id of the component over links of similarity 0.8 and more; null if all are).
 
-    Of repeated rows with one doc_id one stays (the smallest text). Rows with a null doc_id stay.
+    Words are those of the fingerprints; texts without words are copies of one another. Null text counts as empty. Rows are told apart by a key of their own: repeated rows each give
+    a row, rows with a null or repeated id are linked by their texts alone. Other columns of docs are not read.
     """
-    return representatives(docs, near_copies(docs, bucket=bucket))
+    _, _, prints, classes = _classes(docs, id_col, text_col, bucket)
+    rooted = cut(prints.join(classes, "digest").select("id", "root"))
+    least = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
+    return rooted.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each component of near copies, the one with the smallest doc_id (null last; of equal ids the first stored); columns as they came."""
+    keyed, name, prints, classes = _classes(docs, id_col, text_col, bucket)
+    rooted = cut(prints.join(classes, "digest").select("root", "id", "file", "row"))
+    order = F.struct(F.col("id").isNull().alias("lacks"), "id", "file", "row")
+    kept = cut(rooted.groupBy("root").agg(F.min(order).alias("least"), F.count("*").alias("k")).filter("k > 1").select("root", F.col("least.file").alias("kept_file"), F.col("least.row").alias("kept_row")))
+    copies = rooted.join(kept, "root").filter((F.col("file") != F.col("kept_file")) | (F.col("row") != F.col("kept_row")))
+    return without(keyed, name, copies.select(F.struct("file", "row").alias(name)))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, values, without
+from .shared import cut, values, with_row_key, without
 
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hash of their id.
 LABELLED = 20_000
@@ -51,14 +51,14 @@ N_FEATURES = 16
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, host, path, text) with the texts' features in place of the texts."""
+    """docs (own, doc_id, host, path, text) with the texts' features in place of the texts."""
 
     def run(batches):
         for b in batches:
-            x = pa.array([features(t or "") for t in values(b.column(3))], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], x], ["doc_id", "host", "path", "x"])
+            x = pa.array([features(t or "") for t in values(b.column(4))], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], x], ["own", "doc_id", "host", "path", "x"])
 
-    return docs.mapInArrow(run, "doc_id long, host string, path string, x array<float>")
+    return docs.mapInArrow(run, f"own {docs.schema['own'].dataType.simpleString()}, doc_id long, host string, path string, x array<float>")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float, float]:
@@ -96,17 +96,22 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
 
     host and path: columns of docs (default: source, and source with lang). Null hosts and paths are sites of their own. labels: doc_id and a quality of 0 or 1; null labels are left out, and of an
     id's several labels the smallest counts. Without labels of both kinds the evidence is 0 and all documents are kept. Null and empty texts have zero features. Repeated rows each give
-    a row; an empty table gives none.
+    a row; an empty table gives none. Scores are kept in whole millionths, so that no rate depends on the order of rows.
     """
+    return _judged(docs, labels, F.col(id_col).alias("doc_id"), host, path, id_col, text_col, label_col, labelled).select("own.*", "evidence", "host_rate", "path_rate", "posterior", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, own: Column, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> DataFrame:
+    """site_quality's columns of each row, with a struct of the given column, own, in place of the id."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     site = lambda *c: F.to_json(F.array(*(x.cast("string") for x in c)), {"ignoreNullFields": "false"})
-    rows = cut(_measured(docs.select(F.col(id_col).cast("long").alias("doc_id"), site(host).alias("host"), site(host, path).alias("path"), F.col(text_col).alias("text"))))
+    rows = cut(_measured(docs.select(F.struct(own).alias("own"), F.col(id_col).cast("long").alias("doc_id"), site(host).alias("host"), site(host, path).alias("path"), F.col(text_col).alias("text"))))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     order = [F.shiftrightunsigned(F.xxhash64("doc_id"), 40), F.col("doc_id")]
     share = min(1.0, (1.1 * labelled + 1000) / max(1, known.count()))  # of the hashes below 2**24 that can be among the smallest
     first = known.filter(order[0] < int(share * (1 << 24)) + 1).orderBy(*order).limit(labelled)
-    sample = first.join(rows.select("doc_id", "x"), "doc_id").orderBy(*order).limit(labelled).collect()
+    sample = first.join(rows.select("doc_id", "x", "own"), "doc_id").orderBy(*order, "own").limit(labelled).collect()
     x, y = np.array([r["x"] for r in sample], dtype=np.float64).reshape(-1, N_FEATURES), np.array([r["y"] for r in sample])
     if len(set(y.tolist())) < 2:
         weights, offset, prior = np.zeros(N_FEATURES), 0.0, 0.0
@@ -116,13 +121,16 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
         base = None
     logit = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda a, b: a * b), F.lit(offset), lambda s, v: s + v)
     bounded = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), logit))
-    scored = cut(rows.select("doc_id", "host", "path", (bounded - prior).alias("evidence"), (1 / (1 + F.exp(-bounded))).alias("p")))
+    whole = lambda c: F.round(c * 1_000_000).cast("long")
+    scored = cut(rows.select("own", "host", "path", (whole(bounded - prior) / 1_000_000).alias("evidence"), whole(1 / (1 + F.exp(-bounded))).alias("p")))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
     paths = cut(paths)
-    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k")).first()
+    total = hosts.agg(F.sum("hn").alias("n"), (F.sum("hs") / 1_000_000).alias("s"), F.count("*").alias("k")).first()
+    million = lambda df, *c: df.withColumns({x: F.col(x) / 1_000_000 for x in c})
+    hosts, paths, scored = million(hosts, "hs"), million(paths, "s"), million(scored, "p")
     if not total["n"]:
-        return scored.select("doc_id", "evidence", *(F.lit(0.5).alias(c) for c in ("host_rate", "path_rate", "posterior")), F.lit(True).alias("kept"))
+        return scored.select("own", "evidence", *(F.lit(0.5).alias(c) for c in ("host_rate", "path_rate", "posterior")), F.lit(True).alias("kept"))
     mean = base or total["s"] / total["n"]
     rate = F.col("hs") / F.col("hn")
     spread = hosts.agg(F.sum(F.col("hn") * F.pow(rate - mean, 2)) / F.sum("hn")).first()[0]
@@ -136,9 +144,10 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     out = scored.join(sites, "path").withColumn("host_rate", clip(lone("hs", "hn", F.lit(mean), k1))).withColumn("path_rate", clip(lone("s", "n", F.col("host_rate"), k2)))
     odds = F.col("evidence") + _logit(F.col("path_rate"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", "posterior", (F.lit(base is not None) | (F.col("posterior") >= THRESHOLD)).alias("kept"))
+    return out.select("own", "evidence", "host_rate", "path_rate", "posterior", (F.lit(base is not None) | (F.col("posterior") >= THRESHOLD)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that site_quality rejects; columns as they came. Rows are matched by doc_id; those with a null id stay."""
-    return without(docs, site_quality(docs, labels).filter("not kept"))
+    """docs without the rows that site_quality rejects; columns as they came. Each row is judged by itself, whatever its id."""
+    keyed, name = with_row_key(docs)
+    return without(keyed, name, _judged(keyed, labels, F.col(name)).filter("not kept").select("own.*"))
