@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.pii_bootstrap import redact
 from brindle.llm.queries import vocabulary
 from brindle.llm.robust_outliers import keep_regular
-from brindle.llm.shared import cut
+from brindle.llm.shared import cut_alone, drop_cut
 from brindle.llm.shingle_dedup import keep_distinct
 from brindle.llm.site_bayes import keep_good
 from brindle.llm.vector_packing import pack_documents
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each component of near copies stays: fingerprints by Golay keys, and all other links of five-word shingles at similarity 0.8."""
     return keep_distinct(docs)
 
 
@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return pack_documents(docs, *vocabulary("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs, *vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written as Parquet and read again for the next one."""
+    """The rows of the last stage; each stage is written as Parquet and read again for the next one, whose input is deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut_alone(spark, lambda: stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return docs
