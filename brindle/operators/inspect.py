@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,21 +44,28 @@ def to_columns(df: DataFrame) -> dict[str, list]:
     return df.toArrow().to_pydict()
 
 
-def stream_batches(df: DataFrame) -> Iterator[dict]:
+def stream_rows(df: DataFrame) -> Iterator[dict]:
     """Rows one by one, a partition at a time, so that the driver holds few of them."""
     for r in df.toLocalIterator(prefetchPartitions=True):
         yield r.asDict(recursive=True)
 
 
+def stream_batches(df: DataFrame, size: int = 1024) -> Iterator[dict[str, list]]:
+    """Batches of up to size rows as columns, a partition at a time, so that the driver holds few rows; the last may be smaller, none is empty."""
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    while held := list(itertools.islice(rows, size)):
+        yield {c: [r[i] for r in held] for i, c in enumerate(df.columns)}
+
+
 def for_each(df: DataFrame, fn: Callable[[dict], None]) -> None:
     """fn on each row, in order, on the driver."""
-    for r in stream_batches(df):
+    for r in stream_rows(df):
         fn(r)
 
 
 def reduce(df: DataFrame, fn: Callable, initial):
     """A sequential fold on the driver; prefer aggregates."""
-    return functools.reduce(fn, stream_batches(df), initial)
+    return functools.reduce(fn, stream_rows(df), initial)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:

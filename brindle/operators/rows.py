@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..errors import BrindleError, ColumnError, SchemaError
 from ..functions.scalar import cast_to, replace, trim
 from ..storage import materialised
-from ..types import get_column
+from ..types import fresh_name, get_column
 
 
 def _known(df: DataFrame, names) -> None:
@@ -76,14 +76,14 @@ def cast(df: DataFrame, name: str, kind) -> DataFrame:
 
 
 def fill_null(df: DataFrame, name: str, value) -> DataFrame:
-    _known(df, [name])
-    return df.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)))
+    """value: a constant, or an expression over the row's columns."""
+    return fill_nulls(df, {name: value})
 
 
 def fill_nulls(df: DataFrame, values: dict) -> DataFrame:
-    for name, value in values.items():
-        df = fill_null(df, name, value)
-    return df
+    """Constants or expressions by column; expressions see the input's columns."""
+    _known(df, values)
+    return df.withColumns({c: F.coalesce(F.col(c), (v if isinstance(v, Column) else F.lit(v)).cast(df.schema[c].dataType)) for c, v in values.items()})
 
 
 def drop_null(df: DataFrame, columns: list[str] | None = None, how: str = "any") -> DataFrame:
@@ -106,7 +106,6 @@ def has_any_null(df: DataFrame, columns: list[str] | None = None) -> bool:
 
 
 
-
 def _fill(df: DataFrame, name: str, order, by, forward: bool, split: bool) -> DataFrame:
     _known(df, [name])
     by = [by] if isinstance(by, str) else list(by or [])
@@ -126,21 +125,24 @@ def _known_value(name: str, w, forward: bool) -> Column:
 
 def _fill_ranges(df: DataFrame, name: str, order: list, by: list[str], forward: bool) -> DataFrame:
     """A group may be large, or all rows one group: range partitions are filled each on their own. What one hands to the next is a value for each group that it holds."""
-    parts = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part", *by).orderBy(*order)
+    part, at, kept = (fresh_name(df, n) for n in ("part", "at", "kept"))
+    parts = df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id())
+    w = Window.partitionBy(part, *by).orderBy(*order)
     # written, as the partitions of a row must not change between the two uses
-    numbered = materialised(parts.withColumn("_at", F.row_number().over(w)).withColumn("_kept", _known_value(name, w, forward)))
-    value = F.when(F.col(name).isNotNull(), F.col("_at"))
-    over_parts = Window.partitionBy(*by).orderBy("_part")
+    numbered = materialised(parts.withColumn(at, F.row_number().over(w)).withColumn(kept, _known_value(name, w, forward)))
+    value = F.when(F.col(name).isNotNull(), F.col(at))
+    groups = [F.col(c).alias(f"by_{i}") for i, c in enumerate(by)]
+    ends = numbered.groupBy(F.col(part).alias("of"), *groups).agg((F.max_by if forward else F.min_by)(name, value).alias("v"))
+    over_parts = Window.partitionBy(*(f"by_{i}" for i in range(len(by)))).orderBy("of")
     if forward:
-        edge, carried = F.max_by(name, value), F.last("_v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
+        carried = F.last("v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        edge, carried = F.min_by(name, value), F.first("_v", True).over(over_parts.rowsBetween(1, Window.unboundedFollowing))
-    edges = numbered.groupBy("_part", *by).agg(edge.alias("_v")).select(F.col("_part").alias("_of"), *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), carried.alias("_carried"))
-    on = F.col("_part") == F.col("_of")
+        carried = F.first("v", True).over(over_parts.rowsBetween(1, Window.unboundedFollowing))
+    edges = ends.withColumn("carried", carried).filter("carried is not null").select(F.struct("*").alias(found := fresh_name(numbered, "found")))
+    on = numbered[part] == edges[found]["of"]
     for i, c in enumerate(by):
-        on = on & numbered[c].eqNullSafe(F.col(f"_by_{i}"))
-    return numbered.join(edges.filter("_carried is not null"), on, "left").withColumn(name, F.coalesce("_kept", "_carried")).select(*df.columns)
+        on = on & numbered[c].eqNullSafe(edges[found][f"by_{i}"])
+    return numbered.join(edges, on, "left").withColumn(name, F.coalesce(F.col(kept), F.col(found)["carried"])).select(*df.columns)
 
 
 def fill_forward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = False) -> DataFrame:
@@ -159,11 +161,20 @@ def shuffle(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
-def sample(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
-    """Each row with that probability; none for 0 or less, all for 1 or more."""
+def sample(df: DataFrame, fraction: float, seed: int | None = None, key: str | None = None) -> DataFrame:
+    """Each row with that probability; none for 0 or less, all for 1 or more.
+
+    With a key the choice is the key's: rows whose MD5 of "key:seed" is in the lowest fraction of 32 bits, whatever the partitions are; null keys are left out.
+    """
     if fraction <= 0:
         return df.filter(F.lit(False))
-    return df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
+    if fraction >= 1:
+        return df
+    if key is None:
+        return df.sample(fraction=fraction, seed=seed)
+    _known(df, [key])
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{0 if seed is None else seed}")))
+    return df.filter(F.substring(digest, 1, 8) < f"{int(fraction * 2**32):08x}")
 
 
 def explode_json(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import SchemaError
+from ..types import fresh_name
 from .order import SortKey
 from .rows import _known
 
@@ -41,7 +42,8 @@ def unique(df: DataFrame, columns: list[str] | None = None, order=None, keep: st
     if keep == "last":
         keys = [SortKey(k.name, not k.descending, not k.nulls_first_) for k in keys]
     w = Window.partitionBy(*columns).orderBy(*(k.column() for k in keys))
-    return df.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row")
+    row = fresh_name(df, "row")
+    return df.withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1).drop(row)
 
 
 def drop_duplicates(df: DataFrame, columns: list[str] | None = None, order=None, keep: str = "first") -> DataFrame:

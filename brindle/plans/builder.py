@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from time import perf_counter
 
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from .. import operators as O
 from ..types import make_schema
@@ -36,8 +36,9 @@ class Pipeline:
     def with_columns(self, values: dict[str, Column]) -> Pipeline:
         return self._then(O.with_columns, values)
 
-    def limit(self, n: int) -> Pipeline:
-        return self._then(O.limit, n)
+    def limit(self, n: int, offset: int = 0) -> Pipeline:
+        """n rows after the first offset ones."""
+        return self._then(O.slice_rows, offset, n) if offset else self._then(O.limit, n)
 
     def sort(self, *keys) -> Pipeline:
         return self._then(O.sort, *keys)
@@ -59,10 +60,10 @@ class Pipeline:
         return df
 
     def execute(self, df: DataFrame) -> dict:
-        """The result's rows with counts and time: for small results."""
-        began = perf_counter()
-        rows = self.apply(df).collect()
-        return {"rows": rows, "rows_in": df.count(), "rows_out": len(rows), "seconds": perf_counter() - began}
+        """The result's rows with counts and time: for small results, which reach the driver. Rows of the input are counted as the same job reads them."""
+        began, seen = perf_counter(), Observation()
+        rows = self.apply(df.observe(seen, F.count(F.lit(1)).alias("n"))).collect()
+        return {"rows": rows, "rows_in": seen.get["n"], "rows_out": len(rows), "seconds": perf_counter() - began}
 
 
 def from_schema(schema) -> Pipeline:

@@ -28,7 +28,10 @@ def is_aggregate(spark: SparkSession, expression: Column, schema: T.StructType)
     return plan.startswith("Aggregate")
 
 
-def format_expression(expression: Column) -> str:
+def format_expression(expression: Column, spark: SparkSession | None = None, schema: T.StructType | None = None) -> str:
+    """The expression as text: as it was written, or with a session and a schema as the analyser names it."""
+    if spark is not None and schema is not None:
+        return spark.createDataFrame([], schema).select(expression).columns[0]
     return str(expression)[len("Column<'") : -2]
 
 

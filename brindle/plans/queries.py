@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as E, operators as O, sources as S
-from ..streaming import windowed
+from ..streaming import sessions, stream_table, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -358,15 +358,9 @@ def join_multi_key(spark, sf_dir):
     return O.join(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), ["l_orderkey", "l_suppkey"], ["o_orderkey", "o_custkey"]).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
-@query("SELECT a.k, COUNT(*) AS pairs FROM (SELECT event_type AS k FROM events WHERE event_id % 50 = 0) a JOIN (SELECT event_type AS k FROM events WHERE event_id % 40 = 0) b ON a.k = b.k GROUP BY a.k")
-def join_fan_out(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "k")
-    return O.group_by(O.join(e.filter("event_id % 50 = 0").select("k"), e.filter("event_id % 40 = 0").select("k"), "k"), "k", {"pairs": E.count()})
-
-
 @query("SELECT a.k, COUNT(*) AS pairs FROM (SELECT user_id AS k FROM events) a JOIN (SELECT user_id AS k FROM events) b ON a.k = b.k GROUP BY a.k")
-def join_fan_out_all(spark, sf_dir):
-    """Every event with every event of its user."""
+def join_fan_out(spark, sf_dir):
+    """A many-to-many join of the whole table."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
     return O.group_by(O.join(e, e, "k"), "k", {"pairs": E.count()})
 
@@ -389,10 +383,10 @@ def union_all(spark, sf_dir):
     return a.transform(O.concat, b).transform(O.union_all, b)
 
 
-@query("SELECT event_type, user_id % 5 AS u FROM events WHERE event_id < 500 UNION SELECT event_type, user_id % 5 FROM events WHERE event_id > 300")
+@query("SELECT event_type, user_id % 5 AS u FROM events UNION SELECT event_type, user_id % 7 FROM events")
 def union_distinct(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 5).alias("u"))
-    return O.union(e.filter("event_id < 500").drop("event_id"), e.filter("event_id > 300").drop("event_id"))
+    e = table(spark, sf_dir, "events")
+    return O.union(e.select("event_type", (F.col("user_id") % 5).alias("u")), e.select("event_type", (F.col("user_id") % 7).alias("u")))
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -416,11 +410,12 @@ def unique_keep_last_null_key(spark, sf_dir):
 
 def _sorted(name, key, sql):
     def f(spark, sf_dir):
+        """The whole table with its order as a column."""
         df = table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("n"))
-        return df.transform(O.sort, key, O.asc("c_custkey")).transform(O.slice_rows, 40, 100)
+        return df.transform(O.sort, key, O.asc("c_custkey")).transform(O.number_rows, "at", 1)
 
     f.__name__ = f"sort_{name}"
-    query(f"SELECT c_custkey, NULLIF(c_nationkey, 3) AS n FROM customer ORDER BY n {sql}, c_custkey LIMIT 100 OFFSET 40")(f)
+    query(f"SELECT c_custkey, NULLIF(c_nationkey, 3) AS n, ROW_NUMBER() OVER (ORDER BY NULLIF(c_nationkey, 3) {sql}, c_custkey) AS at FROM customer")(f)
 
 
 _sorted("asc_nulls_last", O.asc("n"), "ASC NULLS LAST")
@@ -444,6 +439,24 @@ def offset_rows(spark, sf_dir):
     return O.offset(table(spark, sf_dir, "nation").select("n_name").transform(O.sort, "n_name"), 20)
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey OFFSET 1000")
+def offset_large(spark, sf_dir):
+    """Nearly all rows of a table."""
+    df = table(spark, sf_dir, "lineitem").transform(O.sort, "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")
+    return O.offset(df, 1000).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 100 OFFSET 40")
+def slice_page(spark, sf_dir):
+    return O.slice_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").transform(O.sort, "c_acctbal", "c_custkey"), 40, 100)
+
+
+@query("SELECT event_id FROM events ORDER BY value DESC, event_id DESC LIMIT 300")
+def tail_of_sorted(spark, sf_dir):
+    """The last rows of a frame that happens to be sorted, without keys."""
+    return O.tail(table(spark, sf_dir, "events").select("event_id", "value").transform(O.sort, "value", "event_id"), 300).select("event_id")
+
+
 # cleaning
 
 
@@ -494,23 +507,38 @@ def column_string_ops(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['1', 'b'] WHEN 1 THEN ['plain'] WHEN 2 THEN CAST([] AS VARCHAR[]) ELSE [NULL] END) AS item FROM events WHERE event_id < 1000"""
+    """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['1', 'b'] WHEN 1 THEN ['plain'] WHEN 2 THEN CAST([] AS VARCHAR[]) ELSE [NULL] END) AS item FROM events"""
 )
 def explode_json(spark, sf_dir):
     """Array text, other text, an empty array, null."""
     k = F.col("event_id") % 4
     text = F.when(k == 0, '[1, "b"]').when(k == 1, "plain").when(k == 2, "[]")
-    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", text.alias("item")).transform(O.explode_json, "item")
+    return table(spark, sf_dir, "events").select("event_id", text.alias("item")).transform(O.explode_json, "item")
 
 
-@query(
-    """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['1', 'b'] WHEN 1 THEN ['plain'] WHEN 2 THEN CAST([] AS VARCHAR[]) ELSE [NULL] END) AS item FROM events"""
-)
-def explode_json_all(spark, sf_dir):
-    """The same over the whole table."""
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, '[1, "b"]').when(k == 1, "plain").when(k == 2, "[]")
-    return table(spark, sf_dir, "events").select("event_id", text.alias("item")).transform(O.explode_json, "item")
+@query("SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'F'), o_orderpriority) AS s, COALESCE(NULLIF(o_custkey, 1), o_orderkey * 2) AS k FROM orders")
+def fill_null_expressions(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"), F.nullif("o_custkey", F.lit(1)).alias("k"), "o_orderpriority")
+    return O.fill_nulls(df, {"s": F.col("o_orderpriority"), "k": F.col("o_orderkey") * 2}).drop("o_orderpriority")
+
+
+@query("SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s, CASE WHEN o_custkey % 2 <> 0 THEN o_custkey END AS k FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 2 <> 0")
+def drop_null_all(spark, sf_dir):
+    """Only rows with nulls in all of the named columns go."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"), F.when(F.col("o_custkey") % 2 != 0, F.col("o_custkey")).alias("k"))
+    return O.drop_null(df, ["s", "k"], how="all")
+
+
+@query("SELECT COUNT(*) FILTER (o_orderstatus = 'F') > 0 AS some, COUNT(*) FILTER (o_orderkey IS NULL) > 0 AS none FROM orders")
+def any_null(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"))
+    return S.from_records(spark, [{"some": O.has_any_null(df), "none": O.has_any_null(df, ["o_orderkey"])}], {"some": "boolean", "none": "boolean"})
+
+
+@query("SELECT o_orderkey FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || ':7'), 1, 8) < '19999999'")
+def sample_by_key(spark, sf_dir):
+    """A tenth of the keys, the same on every run."""
+    return O.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 0.1, seed=7, key="o_orderkey")
 
 
 @query(None)
@@ -651,11 +679,180 @@ def cached_source(spark, sf_dir):
 
 @query("SELECT MIN(o_totalprice) AS low, MAX(o_totalprice) AS high, ROUND(AVG(o_totalprice), 4) AS mean FROM orders")
 def scalar_actions(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    values = {"low": O.scalar_min(df, "o_totalprice"), "high": O.scalar_max(df, "o_totalprice"), "mean": round(O.scalar_mean(df, "o_totalprice"), 4)}
+    """Three values of one pass."""
+    values = O.scalars(table(spark, sf_dir, "orders"), {"low": E.min_("o_totalprice"), "high": E.max_("o_totalprice"), "mean": r(E.avg("o_totalprice"))})
     return S.from_records(spark, [values], {"low": "float64", "high": "float64", "mean": "float64"})
 
 
+@query("SELECT MIN(c_acctbal) AS low, MAX(c_acctbal) AS high, ROUND(AVG(c_acctbal), 4) AS mean, COUNT(*) AS n FROM customer")
+def scalar_shortcuts(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    values = {"low": O.scalar_min(df, "c_acctbal"), "high": O.scalar_max(df, "c_acctbal"), "mean": round(O.scalar_mean(df, "c_acctbal"), 4), "n": O.count(df)}
+    return S.from_records(spark, [values], {"low": "float64", "high": "float64", "mean": "float64", "n": "int64"})
+
+
+@query("SELECT MEDIAN(l_extendedprice) AS median FROM lineitem")
+def median_of_all(spark, sf_dir):
+    """Exact, with no task that sees all rows."""
+    return O.median(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query("SELECT NULLIF(user_id % 4, 0) AS u, event_type, MEDIAN(CASE WHEN event_type <> 'error' THEN value END) AS median FROM events GROUP BY 1, 2")
+def median_by_groups(spark, sf_dir):
+    """Null keys are a group, and a group without values has a null median."""
+    df = table(spark, sf_dir, "events").select(F.nullif(F.col("user_id") % 4, F.lit(0)).alias("u"), "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+    return O.median(df, "v", ["u", "event_type"])
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT({c}) AS \"count\", COUNT(*) - COUNT({c}) AS nulls, ROUND(AVG({c}), 4) AS mean, ROUND(STDDEV_SAMP({c}), 4) AS std, MIN({c})::DOUBLE AS min, MAX({c})::DOUBLE AS max FROM (SELECT l_quantity, l_linenumber, NULLIF(l_discount, 0) AS d FROM lineitem)" for c in ("l_quantity", "l_linenumber", "d"))
+)
+def describe_table(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", F.nullif("l_discount", F.lit(0.0)).alias("d"), "l_returnflag")
+    return O.describe(df).withColumns({"mean": r("mean"), "std": r("std")})
+
+
+@query("SELECT event_id, ts - INTERVAL (EXTRACT(microsecond FROM ts) % 1000000) MICROSECOND AS back, CAST(NULL AS TIMESTAMP) AS bad FROM events")
+def timestamp_parse(spark, sf_dir):
+    """Text in a pattern becomes a timestamp, other text null."""
+    df = table(spark, sf_dir, "events").select("event_id", E.format_date(F.col("ts").cast("timestamp"), "DD/MM/YYYY HH:mm:ss").alias("t"))
+    return df.select("event_id", E.to_timestamp("t", "DD/MM/YYYY HH:mm:ss").cast("timestamp_ntz").alias("back"), E.to_timestamp(F.concat("t", F.lit("?")), "DD/MM/YYYY HH:mm:ss").cast("timestamp_ntz").alias("bad"))
+
+
+@query("SELECT n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation WHERE n_nationkey >= 7 AND n_regionkey > 0")
+def csv_options(spark, sf_dir):
+    """Several files without a header, a delimiter and quotes of their own, skipped rows in file order, a projection and a filter."""
+    from ..storage import shared_path
+
+    path = shared_path(spark)
+    df = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(";'")).alias("n_name"), "n_regionkey").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey")
+    df.write.options(sep=";", quote="'", escape="'", header="false").csv(path)
+    schema = {"n_nationkey": "int32", "n_name": "string", "n_regionkey": "int32"}
+    out = S.read_csv(spark, path, schema, delimiter=";", quote="'", header=False, skip_rows=7, projection=[1, 2], filter=F.col("n_regionkey") > 0)
+    return out.withColumn("n_name", F.expr("rtrim(\"';\", n_name)"))
+
+
+@query("SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS first FROM nation GROUP BY n_regionkey")
+def parquet_sink(spark, sf_dir):
+    """Written by partitions and as a bucketed table, whose groups need no shuffle."""
+    import uuid
+
+    from ..storage import shared_path
+
+    path, name = shared_path(spark), f"brindle_{uuid.uuid4().hex}"
+    S.write_parquet(table(spark, sf_dir, "nation"), path, partition_by=["n_regionkey"])
+    S.write_bucketed(S.read_parquet(spark, path), name, ["n_regionkey"], 4)
+    return O.group_by(spark.table(name), "n_regionkey", {"n": E.count(), "first": E.min_("n_name")})
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def exports(spark, sf_dir):
+    """Records, columns and batches of a table of fixed size on the driver, and back."""
+    df, schema = table(spark, sf_dir, "region").select("r_regionkey", "r_name"), {"r_regionkey": "int32", "r_name": "string"}
+    parts = [O.to_records(df), [dict(zip(schema, v)) for v in zip(*(O.to_columns(df)[c] for c in schema))], [dict(zip(schema, v)) for b in O.stream_batches(df, 2) for v in zip(*b.values())]]
+    return S.from_records(spark, [row for part in parts for row in part], schema)
+
+
+@query("SELECT * FROM (VALUES ('region', TRUE, FALSE, 'r_regionkey,r_name', 5::BIGINT), ('nation', FALSE, FALSE, 'n_nationkey,n_name,n_regionkey', 25::BIGINT)) t(name, same, empty, columns, n)")
+def inspection(spark, sf_dir):
+    """Names, types, emptiness and row counts, and whether two tables may be appended."""
+    from ..errors import SchemaError
+
+    def same(a, b):
+        try:
+            O.validate_same_columns(a, b)
+        except SchemaError:
+            return False
+        return True
+
+    region, out = table(spark, sf_dir, "region"), []
+    for name in ("region", "nation"):
+        df = table(spark, sf_dir, name)
+        assert list(O.dtypes(df)) == O.column_names(df) and "Scan parquet" in O.explain(df)
+        out.append({"name": name, "same": same(region, df), "empty": O.is_empty(df), "columns": ",".join(O.column_names(df)), "n": O.count(df)})
+    return S.from_records(spark, out, {"name": "string", "same": "boolean", "empty": "boolean", "columns": "string", "n": "int64"})
+
+
+@query("SELECT * FROM (VALUES ('(a + 1)', 'int', FALSE, FALSE), ('(a > 1)', 'boolean', TRUE, FALSE), ('sum(a)', 'bigint', FALSE, TRUE)) t(expression, type, predicate, aggregate)")
+def expression_introspection(spark, sf_dir):
+    from ..types import make_schema
+    from . import introspect as I
+
+    schema, out = make_schema({"a": "int32"}), []
+    for e in (F.col("a") + 1, F.col("a") > 1, F.sum("a")):
+        I.validate(spark, e, schema)
+        out.append({"expression": I.format_expression(e, spark, schema), "type": I.infer_type(spark, e, schema).simpleString(), "predicate": I.is_predicate(spark, e, schema), "aggregate": I.is_aggregate(spark, e, schema)})
+    return S.from_records(spark, out, {"expression": "string", "type": "string", "predicate": "boolean", "aggregate": "boolean"})
+
+
+@query(
+    """SELECT 'bar' AS kind, o_orderstatus AS x, COUNT(*)::DOUBLE AS y FROM orders GROUP BY o_orderstatus UNION ALL
+    SELECT 'line', CAST(EXTRACT(year FROM o_orderdate) AS VARCHAR), COUNT(*)::DOUBLE FROM orders GROUP BY 2 UNION ALL
+    SELECT 'scatter', CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR), ROUND(MAX(c_acctbal), 2) FROM customer GROUP BY c_nationkey"""
+)
+def chart_points(spark, sf_dir):
+    """The values of a bar, a line and a scatter chart as their Vega-Lite specifications hold them; each is drawn as SVG too."""
+    from ..plot import plot
+
+    orders = table(spark, sf_dir, "orders")
+    bars = O.group_by(orders, "o_orderstatus", {"n": E.count()})
+    years = O.group_by(orders.withColumn("y", F.year("o_orderdate").cast("string")), "y", {"n": E.count()}).transform(O.sort, "y")
+    top = O.group_by(table(spark, sf_dir, "customer"), "c_nationkey", {"most": r(E.max_("c_acctbal"), 2)})
+    out = []
+    for chart in (plot(bars).bar("o_orderstatus", "n"), plot(years).line("y", "n"), plot(top).scatter("c_nationkey", "most")):
+        assert chart.to_svg().startswith("<svg") and chart.to_json()["kind"] == chart.kind
+        out += [{"kind": chart.kind, "x": str(v["x"]), "y": float(v["y"])} for v in chart.to_vega_lite()["data"]["values"]]
+    return S.from_records(spark, out, {"kind": "string", "x": "string", "y": "float64"})
+
+
+@query(
+    """SELECT 'tick' AS kind, range * 20.0 AS value, range * 60.0 AS place FROM range(6) UNION ALL SELECT 'band', range, 50.0 + 100 * range FROM range(3)"""
+)
+def chart_scales(spark, sf_dir):
+    """Ticks on a linear scale, bands on an ordinal one."""
+    from ..plot import scales
+
+    place, (band, _) = scales.linear_scale((0, 100), (0, 300)), scales.ordinal_scale(["a", "b", "c"], (0, 300))
+    out = [{"kind": "tick", "value": float(t), "place": place(t)} for t in scales.nice_ticks(0, 100)] + [{"kind": "band", "value": float(i), "place": band(c)} for i, c in enumerate("abc")]
+    return S.from_records(spark, out, {"kind": "string", "value": "float64", "place": "float64"})
+
+
+@query(
+    """SELECT user_id, CAST(MIN(ts) AS VARCHAR) AS first, COUNT(*) AS n FROM (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+    (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+)
+def event_sessions(spark, sf_dir):
+    """Runs of events of a user with no gap of half an hour."""
+    df = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions(df, "ts", ["user_id"], {"first": F.min("ts"), "n": E.count()}, "30 minutes")
+    return out.select("user_id", F.col("first").cast("timestamp_ntz").cast("string").alias("first"), "n")
+
+
+@query("SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY event_type")
+def event_stream(spark, sf_dir):
+    """The table read as a stream, all that is there in one run, into a table that is then read."""
+    import uuid
+
+    from ..storage import shared_path
+
+    name = f"stream_{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = stream_table(spark, f"{sf_dir}/events*.parquet", schema)
+    out = O.group_by(stream, "event_type", {"n": E.count(), "total": r(E.sum_("value"), 2)})
+    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
+def pipeline_page(spark, sf_dir):
+    """A pipeline with a limit after an offset."""
+    from .builder import from_schema
+
+    df = table(spark, sf_dir, "orders")
+    return from_schema(df.schema).select("o_orderkey", "o_totalprice").sort(O.desc("o_totalprice"), "o_orderkey").limit(20, 30).build(spark)(df)
+
+
 @query("SELECT CAST(SUM(n_nationkey) AS BIGINT) AS total, COUNT(*) AS n FROM nation")
 def row_callbacks(spark, sf_dir):
     """reduce and for_each on the driver, over a table of fixed size."""

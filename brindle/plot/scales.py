@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 
 def linear_scale(domain: tuple[float, float], extent: tuple[float, float]) -> Callable[[float], float]:
@@ -22,35 +23,28 @@ def ordinal_scale(domain: Sequence[str], extent: tuple[float, float]) -> tuple[C
     return lambda v: centre.get(v, extent[0]), band
 
 
-#: Up to which multiple of a power of ten which step is taken.
-STEPS = ((1.5, 1), (3.5, 2), (7.5, 5))
-
-
-def nice_step(width: float, target: int) -> float:
-    """The step of 1, 2 or 5 times a power of ten that comes closest to target steps."""
-    rough = width / target
-    power = 10.0 ** math.floor(math.log10(rough))
-    for bound, step in STEPS:
-        if rough / power <= bound:
-            return step * power
-    return 10 * power
+def nice_step(width: float, target: int) -> Decimal:
+    """The smallest of 1, 2 and 5 times the powers of ten that divides width into at most target steps; exact in decimals."""
+    least = Decimal(width) / target
+    power = Decimal(1).scaleb(least.adjusted())
+    return next(step for m in (1, 2, 5, 10) if (step := m * power) >= least)
 
 
 def nice_ticks(low: float, high: float, target: int = 5) -> list[float]:
+    """The multiples of a nice step from the last one at or below low to the first one at or above high."""
     if low == high:
         return [low]
     step = nice_step(high - low, target)
-    return [round(k * step, 10) for k in range(math.floor(low / step), math.ceil(high / step) + 1)]
+    first, last = math.floor(Decimal(low) / step), math.ceil(Decimal(high) / step)
+    return [float(k * step) for k in range(first, last + 1)]
 
 
 def domain_of(values: Sequence[float], nice: bool = True) -> tuple[float, float]:
-    """Least and greatest value, widened to ticks."""
-    if not values:
-        return 0.0, 1.0
-    low, high = min(values), max(values)
+    """Least and greatest value, widened to ticks; a single value gets half its size on both sides, nothing and zero the unit."""
+    low, high = min(values, default=0), max(values, default=0)
     if low == high:
-        return (0.0, 1.0) if low == 0 else (low * 0.9, high * 1.1)
-    if nice:
-        ticks = nice_ticks(low, high)
-        return ticks[0], ticks[-1]
-    return low, high
+        return (low - abs(low) / 2, high + abs(high) / 2) if low else (0.0, 1.0)
+    if not nice:
+        return low, high
+    ticks = nice_ticks(low, high)
+    return ticks[0], ticks[-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import SourceError
-from ..types import UNSIGNED, make_schema, spark_type
+from ..types import UNSIGNED, fresh_name, make_schema, spark_type
 from .parquet import cached_read
 
 #: White space and control characters, which do not count at the ends of a value.
@@ -67,10 +67,14 @@ def read_csv(
         return out if max_rows is None else out.limit(max_rows)
     raw = spark.read.schema(_raw_schema(s, defaults)).options(**_options(delimiter, quote, header, multi_line)).csv(path)
     if skip_rows:
-        # file order: the ids of the first rows grow within a partition and with the partition
-        raw = raw.withColumn("_row", F.monotonically_increasing_id())
-        last = raw.select("_row").orderBy("_row").limit(skip_rows).agg(F.max("_row")).first()[0]
-        raw = raw.filter(F.col("_row") > (-1 if last is None else last)).drop("_row")
+        # files by their paths, then the blocks of a file, within which ids grow
+        place = raw.metadataColumn("_metadata")
+        row = fresh_name(raw, "row")
+        placed = raw.withColumn(row, F.struct(place["file_path"], place["file_block_start"], F.monotonically_increasing_id()))
+        first = placed.select(row).orderBy(row).limit(skip_rows)
+        last = first.agg(F.max(row)).first()[0]
+        if last is not None:
+            raw = placed.filter(F.col(row) > F.struct(F.lit(last[0]), *(F.lit(v).cast("long") for v in last[1:]))).drop(row)
     kept = s if projection is None else T.StructType([s[i] for i in projection])
     out = _typed(raw, kept, defaults)
     if filter is not None:

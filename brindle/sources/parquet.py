@@ -44,8 +44,8 @@ def _state(spark: SparkSession, path: str) -> tuple[str, int]:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:16], max((t for _, t, _ in files), default=0)
 
 
-def cached_read(spark: SparkSession, path: str, read: Callable[[], DataFrame], cache_dir: str = "cache", variant: str = "") -> DataFrame:
-    """The source as read() gives it, converted to Parquet once.
+def cached_read(spark: SparkSession, path: str, read: Callable[[], DataFrame], cache_dir: str, variant: str = "") -> DataFrame:
+    """The source as read() gives it, converted to Parquet once. cache_dir: a folder that the driver and all executors reach.
 
     The copy's name is a digest of the source's files, times and sizes and of variant, which tells ways to read it apart; so a changed source gets a new copy. A copy counts once its job
     has committed.

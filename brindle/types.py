@@ -75,6 +75,14 @@ def is_schema_equal(a: T.StructType, b: T.StructType) -> bool:
     return not compare_schemas(a, b)
 
 
+def fresh_name(df, name: str) -> str:
+    """name, or name with underscores in front until df has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def get_column(schema: T.StructType, name: str) -> T.StructField:
     if name not in schema.fieldNames():
         raise ColumnError(f"no column {name!r}; there are {schema.fieldNames()}")
