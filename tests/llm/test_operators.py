@@ -512,27 +512,102 @@ def test_packing_ids_equal_the_tokenizers_library():
 # 7
 
 
+def small_vocabulary():
+    counts = {f"w{i}".encode(): n for i, n in enumerate([9] * 40 + [3] * 30)}
+    rare = np.zeros(window_lm.ENDINGS)
+    for w in list(counts)[40:]:
+        rare[window_lm.ending_group(w)] += 3
+    return window_lm.Vocabulary(counts, 40, rare, 40 * 9 + 30 * 3)
+
+
 def test_window_network_gradient():
-    rng = np.random.RandomState(0)
-    around, target = rng.randint(0, window_lm.CLASSES, (4, 50)), rng.randint(0, window_lm.CLASSES - 1, 50)
-    net = window_lm.WindowNetwork()
-    loss = lambda n: -n.log_probabilities(around, target).mean()
-    first = loss(net)
-    assert np.allclose(np.exp([net.log_probabilities(around[:, :1], np.array([k])) for k in range(window_lm.CLASSES)]).sum(), 1, atol=1e-4)
-    before = net.flat.copy()
-    net.train(around, target)
-    change = net.flat - before
-    slope = []
-    for i in np.flatnonzero(change)[::97]:
-        up = window_lm.WindowNetwork(before)
-        up.flat[i] += 1e-2
-        down = window_lm.WindowNetwork(before)
-        down.flat[i] -= 1e-2
-        slope.append((loss(up) - loss(down), change[i]))
-    assert sum(a * b < 0 for a, b in slope if abs(a) > 1e-6) >= 0.95 * sum(abs(a) > 1e-6 for a, _ in slope)
-    for _ in range(50):
+    rng, v = np.random.RandomState(0), small_vocabulary()
+    around, target = rng.randint(0, v.pad + 1, (4, 60)), rng.randint(0, v.pad, 60)
+    net = window_lm.WindowNetwork(v)
+    net.flat += rng.normal(0, 0.05, len(net.flat)).astype(np.float32)
+    loss = lambda flat: -window_lm.WindowNetwork(v, flat).log_probabilities(around, target).astype(float).mean()
+    g, checked = net.gradient(around, target), 0
+    for i in np.argsort(-np.abs(g))[:400:7]:
+        up, down = net.flat.copy(), net.flat.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        assert np.isclose((loss(up) - loss(down)) / 2e-2, g[i], rtol=0.05, atol=2e-4)
+        checked += 1
+    assert checked > 50
+    first = loss(net.flat)
+    for _ in range(60):
         net.train(around, target)
-    assert loss(net) < first - 0.5
+    assert loss(net.flat) < first - 0.5
+
+
+def test_window_network_predicts_a_distribution():
+    """The probabilities of all single words and of all groups of rarer ones add up to one."""
+    v, rng = small_vocabulary(), np.random.RandomState(1)
+    net = window_lm.WindowNetwork(v)
+    net.flat += rng.normal(0, 0.3, len(net.flat)).astype(np.float32)
+    for _ in range(5):
+        around = np.repeat(rng.randint(0, v.pad + 1, (4, 1)), v.pad, axis=1)
+        assert np.isclose(np.exp(net.log_probabilities(around, np.arange(v.pad)).astype(float)).sum(), 1, atol=1e-3)
+
+
+def prose(spark, n=150):
+    """Texts of common, rarer and lone words, with copies, odd rows and a null id."""
+    rng = random.Random(9)
+    common, rarer = [f"c{i}" for i in range(30)], [f"r{i}{rng.choice('abc')}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.8 else rng.choice(rarer) if rng.random() < 0.9 else f"x{rng.random()}" for _ in range(rng.randint(0, 200)))) for i in range(n)]
+    rows += [rows[3], rows[3], (900, rows[4][1]), (901, None), (902, ""), (None, rows[5][1]), (903, "one"), (904, " ".join(common * 700))]
+    return documents(spark, [(i, t, "en", "a") for i, t in rows])
+
+
+@pytest.mark.parametrize("held, predicted", [(20, 13), (11, 8), (9, 9)])
+def test_pseudo_likelihood_matches_brute_force(spark, monkeypatch, held, predicted):
+    """Scores from the network's parameters in plain Python, with all words held, some joined, and few predicted."""
+    monkeypatch.setattr(window_lm, "HELD_WORDS", held)
+    monkeypatch.setattr(window_lm, "PREDICTED", predicted)
+    docs = prose(spark, 40)
+    v = window_lm.learn_words(window_lm.cut(window_lm.word_counts(docs)))
+    coded = window_lm._coded(docs.select("doc_id", "text"), v)
+    net = window_lm.train_network(coded, v, 1)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in window_lm.pseudo_likelihood(docs, rounds=1).collect()}
+    texts = [(r["doc_id"], (r["text"] or "").split()) for r in docs.collect()]
+    counts = defaultdict(int)
+    for _, words in texts:
+        for w in words:
+            counts[w] += 1
+    total = sum(counts.values())
+    single = sorted((w for w, n in counts.items() if n >= max(1, -(-total >> predicted))), key=lambda w: (-counts[w], w.encode()))
+    code = {w: single.index(w) if w in single else len(single) + zlib.crc32(w.encode()[-3:]) % 32 for w in counts}
+    mass = defaultdict(int)
+    for w, n in counts.items():
+        mass[code[w]] += n
+    groups = -(-len(single) // 32)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for doc, words in texts:
+        row = got[doc, len(words)]
+        pad, score = len(single) + 32, 0.0
+        line = [pad, pad, *(code[w] for w in words), pad, pad]
+        if len(words) < 1000:
+            for i, w in enumerate(words):
+                h = np.tanh(net.bias + sum(net.vectors[k][line[i + j]] for k, j in enumerate((0, 1, 3, 4))))
+                c = code[w]
+                p = softmax(h @ net.out + net.offset)
+                if c < len(single):
+                    score += np.log(p[c // 32]) + np.log(softmax(h @ net.inner[c // 32] + net.inner_offset[c // 32])[c % 32])
+                else:
+                    score += np.log(p[groups + c - len(single)]) + np.log(counts[w] / mass[c])
+            assert np.isclose(row["log_likelihood"], score, rtol=1e-4, atol=1e-3)
+        assert row["n_alone"] == sum(counts[w] == 1 for w in words)
+        assert row["per_token"] is None if not words else np.isclose(row["per_token"], row["log_likelihood"] / len(words))
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    docs = prose(spark)
+    score = lambda df: sorted((r["doc_id"] is not None, r["doc_id"], r["n_tokens"], r["per_token"]) for r in window_lm.pseudo_likelihood(df, block=500).collect())
+    one = score(docs.coalesce(1))
+    for n in (4, 16):
+        many = score(docs.repartition(n))
+        assert [r[:3] for r in one] == [r[:3] for r in many]
+        assert max(abs(a[3] - b[3]) for a, b in zip(one, many) if a[3] is not None) < 1e-6
 
 
 def test_pseudo_likelihood(spark):
