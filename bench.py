@@ -81,8 +81,11 @@ def main() -> None:
     tables = {name: f(spark) for name, f in OPEN.items()}
     rows = {"lineitem": tables["lineitem"].count(), "part": tables["part"].count()}
     times = {name: timed(lambda make=make: make(tables).write.format("noop").mode("overwrite").save()) for name, make in QUERIES.items()}
-    rates = {k: round(rows["part" if k == "string_predicates" else "lineitem"] / v) for k, v in times.items()}
-    print(json.dumps({"metric": "sum of warm medians", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "open": opened, "rows_per_sec": rates, "rows": rows["lineitem"], "sf": SF, "cpus": CPUS}))
+    read = {k: rows["part"] if k == "string_predicates" else min(rows["lineitem"], 100_000) if k == "parquet_limit_100k" else rows["lineitem"] for k in times}
+    source = {k: "csv" if k.startswith("csv") else "part" if k == "string_predicates" else "lineitem" for k in times}
+    rates = {k: round(read[k] / v) for k, v in times.items()}
+    opening = {k: round(read[k] / (v + opened[source[k]])) for k, v in times.items()}  # as if each query opened its source anew
+    print(json.dumps({"metric": "sum of warm medians", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "open": opened, "rows_per_sec": rates, "rows_per_sec_with_opening": opening, "rows": rows["lineitem"], "sf": SF, "cpus": CPUS}))
     spark.stop()
 
 
