@@ -284,6 +284,34 @@ def test_piece_automaton_on_any_vocabulary():
             assert automaton.count(w) == greedy(w)
 
 
+def test_piece_automaton_with_continuations(spark, tmp_path):
+    """Word pieces with ## against greedy matching, on words that hold the mark themselves; and through a vocabulary file."""
+    rng = random.Random(7)
+
+    def greedy(word, pieces):
+        n = i = 0
+        while i < len(word):
+            j = len(word)
+            while j > i and (b"##" if i else b"") + word[i:j] not in pieces:
+                j -= 1
+            if j == i:
+                return None
+            i, n = j, n + 1
+        return n
+
+    for _ in range(300):
+        some = lambda: bytes(rng.choice(b"ab#") for _ in range(rng.randint(1, 4)))
+        pieces = {some() for _ in range(rng.randint(1, 6))} | {b"##" + some() for _ in range(rng.randint(1, 6))} | ({b"##"} if rng.random() < 0.2 else set())
+        automaton = piece_counts.PieceAutomaton(pieces, b"##")
+        for _ in range(20):
+            w = bytes(rng.choice(b"ab#") for _ in range(rng.randint(0, 10)))
+            assert automaton.count(w) == greedy(w, pieces), (w, pieces)
+    path = tmp_path / "vocabulary.txt"
+    path.write_bytes(b"un\n##aff\n##able\naff\n[UNK]\n")
+    docs = documents(spark, [(1, "unaffable aff affaff nope", "en", "a")])
+    assert collect(piece_counts.piece_counts(docs, str(path), b"", b"##"), "n_words", "n_pieces", "max_pieces") == [(4, 7, 3)]
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
@@ -426,6 +454,36 @@ def test_top_k(spark, shard):
     assert kdtree_search.top_inner_products(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1500])
+def test_top_k_prunes_before_the_shuffle(spark, copies):
+    """On clustered vectors visits grow clearly slower than queries times shards; the answers are those of brute force, copies and all."""
+    rng = np.random.RandomState(6)
+    centres = rng.normal(0, 8, (24, 12))
+    shares = []
+    for n in (1500, 6000):
+        x = np.floor((centres[rng.randint(0, 24, n)] + rng.normal(0, 0.2, (n, 12))) * 256).astype(int)
+        x[:copies] = x[0]
+        table = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>")
+        visits = []
+        got = collect(kdtree_search.top_inner_products(table, table.filter("vec_id % 100 = 0"), 10, shard=100, visits=visits), "query_id", "rank", "vec_id", "score")
+        want = []
+        for q in range(0, n, 100):
+            s = x @ x[q]
+            want += [(q, k + 1, i, int(s[i])) for k, i in enumerate(sorted((i for i in range(n) if i != q), key=lambda i: (-s[i], i))[:10])]
+        assert got == want
+        shares.append(sum(visits) / (n / 100 * -(-n // 100)))
+    if not copies:
+        assert shares[1] < 0.75 * shares[0] and shares[1] < 0.4
+
+
+def test_splits_cut_at_medians():
+    x = np.random.RandomState(3).randint(-500, 500, (4000, 5))
+    found = np.bincount(kdtree_search.Splits(x, 4).regions(x), minlength=16)
+    assert found.min() > 150 and found.max() < 350
+    assert set(kdtree_search.Splits(np.ones((9, 2), dtype=int), 3).regions(np.ones((4, 2), dtype=int))) == {7}
+    assert kdtree_search.Splits(np.empty((0, 2), dtype=int), 3).regions(np.ones((4, 2), dtype=int)).tolist() == [0] * 4
+
+
 def test_large_components_stay_exact():
     v = np.array([[2**40, 3], [2**40 + 1, -2], [5, 7]], dtype=np.int64)
     tree = kdtree_search.KDTree.from_bytes(kdtree_search.KDTree(np.arange(3), v, leaf=1).to_bytes())
