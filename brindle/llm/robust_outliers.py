@@ -29,7 +29,7 @@ LEAST_GROUP = 60
 #: Share of texts in the concentrated subset, bound of the condition number, chi-squared level of the limit, and relative fall of a determinant that counts.
 SHARE, CONDITION, LEVEL, FALL = 0.75, 50.0, 0.999, 1e-6
 #: Steps of the scale on which distances are ranked, for each doubling; a step that the subset's limit cuts counts in part.
-BINS = 256
+BINS = 64
 #: Estimates are repeated under so many salts, so that a source with a third of all rows joins in many tasks.
 SALTS = 32
 
