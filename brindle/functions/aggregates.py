@@ -50,7 +50,7 @@ def variance(c) -> Column:
 
 
 def median(c) -> Column:
-    """Exact; the mean of the middle two."""
+    """Exact; the mean of the middle two. A task holds a group's distinct values: operators.median does without, for large groups."""
     return F.median(_col(c).cast("double"))
 
 

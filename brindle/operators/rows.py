@@ -145,15 +145,15 @@ def _fill_ranges(df: DataFrame, name: str, order: list, by: list[str], forward:
     return numbered.join(edges, on, "left").withColumn(name, F.coalesce(F.col(kept), F.col(found)["carried"])).select(*df.columns)
 
 
-def fill_forward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = False) -> DataFrame:
+def fill_forward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = True) -> DataFrame:
     """Nulls take the previous value in order, inside groups if by is given; leading nulls stay. order must be total within a group.
 
-    split_groups spreads each group over tasks, for groups that may hold a large share of all rows; without groups rows are always spread.
+    Groups are spread over tasks, as one may hold a large share of all rows; split_groups=False saves a written table where all groups are small. Without groups rows are always spread.
     """
     return _fill(df, name, order, by, True, split_groups)
 
 
-def fill_backward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = False) -> DataFrame:
+def fill_backward(df: DataFrame, name: str, order, by: list[str] | str | None = None, split_groups: bool = True) -> DataFrame:
     return _fill(df, name, order, by, False, split_groups)
 
 
