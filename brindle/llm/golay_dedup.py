@@ -132,7 +132,10 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     hot = keyed.join(sizes.filter(F.col("count") > bucket), "key").select("node", "fp").distinct()
     flips = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64))))
     met = hot.select("node", flips.alias("variant")).groupBy("variant").agg(F.min("node").alias("a"), F.collect_list("node").alias("all")).filter(F.size("all") > 1)
-    return close.union(met.select("a", F.explode("all").alias("b")).filter("a < b"))
+    links = cut(close.union(met.select("a", F.explode("all").alias("b")).filter("a < b")))
+    for x in (keyed, sizes, small):
+        drop_cut(x)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -144,9 +147,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     nodes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = connected_components(fingerprint_links(nodes, bucket))
+    links = fingerprint_links(nodes, bucket)
+    roots = connected_components(links)
+    drop_cut(links)
     classes = cut(nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
     drop_cut(roots)
+    drop_cut(nodes)
     return prints.join(classes, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )

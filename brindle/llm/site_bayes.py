@@ -20,6 +20,8 @@ from .shared import cut, values, with_row_key, without
 LABELLED = 20_000
 #: Documents with a posterior of at least this are kept; site rates stay within these bounds, so that no site alone decides.
 THRESHOLD, RATES = 0.5, (0.05, 0.95)
+#: Site rates are repeated under so many salts.
+SALTS = 32
 #: Bounds of the prior strengths, in documents.
 STRENGTH = (2.0, 1000.0)
 
@@ -138,10 +140,11 @@ def _judged(docs: DataFrame, labels: DataFrame, own: Column, host: Column | None
     named = paths.join(hosts, "host")
     within = named.agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - rate, 2)) / F.sum("n"), F.count("*")).first()
     k2 = _strength(mean, within[0], mean * (1 - mean) * within[1] / total["n"])
-    sites = cut(named.select("path", "n", "s", "hn", "hs"))
+    sites = cut(named.select("path", "n", "s", "hn", "hs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("own", "evidence"), F.lit(SALTS)).cast("int"))  # a site with a third of all rows joins in many tasks
     lone = lambda s, n, to, k: (k * to + F.col(s) - F.col("p")) / (k + F.col(n) - 1)  # noqa: E731  without the document itself
     clip = lambda c: F.greatest(F.lit(RATES[0]), F.least(F.lit(RATES[1]), c))
-    out = scored.join(sites, "path").withColumn("host_rate", clip(lone("hs", "hn", F.lit(mean), k1))).withColumn("path_rate", clip(lone("s", "n", F.col("host_rate"), k2)))
+    out = salted.join(sites, ["path", "salt"]).withColumn("host_rate", clip(lone("hs", "hn", F.lit(mean), k1))).withColumn("path_rate", clip(lone("s", "n", F.col("host_rate"), k2)))
     odds = F.col("evidence") + _logit(F.col("path_rate"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.select("own", "evidence", "host_rate", "path_rate", "posterior", (F.lit(base is not None) | (F.col("posterior") >= THRESHOLD)).alias("kept"))
