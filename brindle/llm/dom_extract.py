@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 #: Fixed values of HTML: elements without content, of raw text, of blocks, and start tags that end an open element of the same group.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -488,6 +490,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html counts as empty. Pages are read whole; malformed markup is repaired as browsers do in the common cases. Repeated rows each give a row.
     """
+    small_batches(pages.sparkSession)
     forest = trained_forest()
 
     def run(batches):

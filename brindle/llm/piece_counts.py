@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .rank_queue_bpe import read_ranks
+from .shared import small_batches
 
 #: Counts of words up to this length are remembered, this many at a time.
 MEMO_LENGTH, MEMO_SIZE = 48, 400_000
@@ -127,6 +128,7 @@ def piece_counts(docs: DataFrame, path: str, mark: bytes = b" ", continuation: b
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text; each is matched as mark + word against the pieces of the file at path. Vocabularies tell word starts apart by a mark before them, or, with
     an empty mark, by a continuation before the other pieces (b"##"). A word that the pieces cannot spell counts as one. Null and empty texts have zeros. Repeated rows each give a row.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         counter = word_counter(path, mark, continuation)

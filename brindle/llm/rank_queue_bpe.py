@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 #: Pre-tokens up to this length are remembered, this many at a time; the memory only saves repeated work.
 MEMO_LENGTH, MEMO_SIZE = 48, 1_000_000
 #: The library's own meaning of \s: the Unicode property White_Space, without the separators U+001C to U+001F.
@@ -148,6 +150,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     Each match of pattern is encoded separately, without special tokens. Null text counts as empty: no ids, both digests of nothing. Very long texts and pre-tokens are
     encoded whole. with_ids adds ids, an array of the token ids. Repeated rows each give a row. path: a rank file that every executor can open.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         code = coder(path, pattern)

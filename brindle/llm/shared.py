@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -9,6 +11,21 @@ from ..storage import shared_path
 from ..types import fresh_name
 
 
+#: Rows and bytes of an Arrow batch at most. Texts are read whole, but workers hold few of them at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH; smaller ones stay. Results do not depend on them, but the memory of long texts does."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < int(re.sub(r"\D", "", now) if now[:1] != "-" else 0) * _UNITS.get(now[-1:].lower(), 1) <= most:
+            spark.conf.set(key, str(most))
+
+
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+
 def values(column, step: int = 128):
     """The Python values of an Arrow column, of which only a few are held at a time: batches of long texts are large."""
     for at in range(0, len(column), step):
@@ -53,6 +70,7 @@ def without(keyed: DataFrame, name: str, rejected: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: a lost executor costs no recomputation beyond this point. The table goes when the driver ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark)
     df.write.parquet(path)
     gone = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import values
+from .shared import small_batches, values
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (1024, 4, 992)
@@ -179,6 +179,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, li
     limit that end a partition have a power of two of tokens. Null and empty texts have end_id alone. Repeated rows and null ids are packed like others. An empty table gives no rows. Sequence ids are
     unique and depend on the input's partitions. with_ids adds ids, the piece's token ids.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * with_ids
     types = [pa.int64()] * 8 + [pa.list_(pa.int64())] * with_ids
 

@@ -329,29 +329,32 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     vocabulary = learn_words(counts)
     coded = _coded(rows, vocabulary)
     flat = train_network(coded, vocabulary, rounds, block).flat
-    least = max(1, -(-vocabulary.tokens >> HELD_WORDS))
-    # words that occur once have the logarithm 0
-    others = counts.filter((F.col("n") < least) & (F.col("n") > 1)).select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log"))
-    joined = coded.select("rid", F.explode("unknown").alias("h")).join(others, "h").groupBy("rid").agg(F.sum("log").alias("joined"), F.count("*").alias("known"))
     log_rare = np.concatenate([np.zeros(vocabulary.predicted), np.log(np.maximum(vocabulary.rare, 1.0))])
 
     def run(batches):
         network = WindowNetwork(vocabulary, flat)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield _scores(network, part, log_rare)
+                yield _scores(network, b.slice(at, 512), log_rare)
 
-    rare = (F.col("logs") + F.coalesce("joined", F.lit(0.0))).alias("logs"), (F.col("alone") + F.size("unknown") - F.coalesce("known", F.lit(0))).cast("long").alias("alone")
-    fields = "doc_id long, n_tokens long, log_likelihood double, per_token double, n_alone long"
-    return coded.join(joined, "rid", "left").select("doc_id", "codes", *rare).mapInArrow(run, fields)
+    scored = cut(coded.select("rid", "doc_id", "codes", "logs", "alone").mapInArrow(run, "rid long, doc_id long, n_tokens long, sum double, alone long"))
+    # words that occur once have the logarithm 0
+    least = max(1, -(-vocabulary.tokens >> HELD_WORDS))
+    others = counts.filter((F.col("n") < least) & (F.col("n") > 1)).select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log"))
+    asked = coded.select("rid", F.explode("unknown").alias("h"))
+    joined = cut(asked.join(others, "h", "left").groupBy("rid").agg(F.sum("log").alias("joined"), F.count_if(F.col("log").isNull()).alias("lone")))
+    drop_cut(coded)
+    drop_cut(counts)
+    total, alone = F.col("sum") + F.coalesce("joined", F.lit(0.0)), (F.col("alone") + F.coalesce("lone", F.lit(0))).cast("long")
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(joined, "rid", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("per_token"), alone.alias("n_alone"))
 
 
 def _scores(network: WindowNetwork, part: pa.RecordBatch, log_rare: np.ndarray) -> pa.RecordBatch:
-    """The scores of rows (doc_id, codes, logs, alone)."""
-    codes = [np.frombuffer(c.as_buffer(), np.int32) for c in part.column(1)]
+    """rid, doc_id, n_tokens, the sum of the log-probabilities of the words that are held, and alone, of rows (rid, doc_id, codes, logs, alone)."""
+    codes = [np.frombuffer(c.as_buffer(), np.int32) for c in part.column(2)]
     counts, pad = np.array([len(c) for c in codes], dtype=np.int64), network.vocabulary.pad
-    sums = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+    sums = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
     edge = np.full(SIDE, pad, dtype=np.int32)
     line = np.concatenate([x for c in codes for x in (c, edge)]) if codes else edge  # texts with an edge between them
     owner = np.repeat(np.arange(len(codes)), counts + SIDE)
@@ -362,5 +365,4 @@ def _scores(network: WindowNetwork, part: pa.RecordBatch, log_rare: np.ndarray)
         target = line[p]
         value = network.log_probabilities(windows(line[max(0, lo - SIDE) : hi + SIDE], p - max(0, lo - SIDE), pad), target).astype(np.float64) - log_rare[target]
         sums += np.bincount(owner[p], value, minlength=len(codes))
-    mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-    return pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(sums), mean, part.column(3)], ["doc_id", "n_tokens", "log_likelihood", "per_token", "n_alone"])
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), pa.array(sums), part.column(4)], ["rid", "doc_id", "n_tokens", "sum", "alone"])
