@@ -65,23 +65,25 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\x09-\\x0D]+"))
 
 
+def _window_hashes(words: Column) -> Column:
+    """The hashes of the 8-word windows, by their first words: each word is hashed once, then neighbours are combined to two, four and eight words."""
+
+    def doubled(hashes, k):
+        return _let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - k), F.slice(h, F.lit(k + 1), F.size(h) - k), lambda a, b: F.xxhash64(a, b)))
+
+    return doubled(doubled(doubled(F.transform(words, lambda x: F.xxhash64(x)), 1), 2), 4)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 8-word windows that occur twice or more in the text, first occurrences included.
 
-    Hashes of the windows only rule out texts without a repeat; all others compare the windows themselves, sorted with their
-    positions, and add up the words that the repeated ones cover.
+    Hashes of the windows only rule out windows without a like; those whose hashes meet are compared themselves, sorted with their positions, and the words that the repeated ones cover are added up.
     """
 
-    def windows(w):
-        return F.sequence(F.lit(1), F.size(w) - 7)
-
-    def covered(sorted_windows):
-        last = F.size(sorted_windows) - 1
-        same = lambda i, j: F.get(sorted_windows, i)["w"] == F.get(sorted_windows, j)["w"]
-        return F.transform(
-            sorted_windows,
-            lambda x, i: F.when(((i > 0) & same(i, i - 1)) | ((i < last) & same(i, i + 1)), x["i"]),
-        )
+    def twins(rows, name):
+        """Of sorted structs with a position i, those that agree with a neighbour in name."""
+        same = lambda s, i, j: F.get(s, i)[name] == F.get(s, j)[name]
+        return _let(rows, lambda s: F.filter(s, lambda x, i: ((i > 0) & same(s, i, i - 1)) | ((i < F.size(s) - 1) & same(s, i, i + 1))))
 
     def total(starts):
         return F.aggregate(
@@ -91,15 +93,15 @@ def _repeat_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    def exact(w):
-        pairs = F.array_sort(F.transform(windows(w), lambda i: F.struct(F.array_join(F.slice(w, i, 8), " ").alias("w"), i.alias("i"))))
-        return _let(pairs, lambda s: _let(F.array_sort(F.filter(covered(s), lambda i: i.isNotNull())), total))
+    def exact(w, hashes):
+        met = twins(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))), "h")
+        pairs = F.array_sort(F.transform(met, lambda x: F.struct(F.array_join(F.slice(w, x["i"], 8), " ").alias("w"), x["i"].alias("i"))))
+        return total(F.array_sort(F.transform(twins(pairs, "w"), lambda x: x["i"])))
 
-    def some(w):
-        hashes = F.transform(windows(w), lambda i: F.xxhash64(F.slice(w, i, 8)))
-        return F.size(F.array_distinct(hashes)) < F.size(w) - 7
+    def counted(w):
+        return _let(_window_hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(w, h)).otherwise(F.lit(0).cast("long")))
 
-    return _let(words, lambda w: F.when((F.size(w) > 8) & some(w), exact(w)).otherwise(F.lit(0).cast("long")))
+    return _let(words, lambda w: F.when(F.size(w) > 8, counted(w)).otherwise(F.lit(0).cast("long")))
 
 
 def text_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
