@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base matches of four kinds are seeds. Their neighbouring words induce lexical patterns; all other identifier-like strings are candidates. Over the graph of patterns and
+Base matches of four kinds are seeds, and so are key-like strings, the seeds of a fifth kind, secret. Their neighbouring words induce lexical patterns; all other identifier-like strings are candidates. Over the graph of patterns and
 instances Spark scores both in turn: a pattern by the share of believed instances among its distinct ones, an instance by its patterns (noisy-or), as in mutual bootstrapping (Riloff
-and Jones, 1999). Candidates that confident patterns agree on are added as spans of the patterns' kind.
+and Jones, 1999). Candidates that confident patterns agree on are added as spans of the patterns' kind. A key-like string is no base match: its form alone, which a checksum has too, is not enough,
+and it is added where a confident pattern of secrets holds it.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, drop_cut, values
+from .shared import cut, drop_cut
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
 #: Rounds of scoring; distinct believed instances that a pattern needs; the least score of a pattern that counts; the least confidence of an added instance.
 ROUNDS, SUPPORT, PATTERN_SCORE, CONFIDENCE = 3, 4, 0.6, 0.9
 #: Weight against a pattern of an instance that is not known but has the kind's form; all other instances that are not of the kind have weight 1.
@@ -32,6 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Identifier-like: digit groups joined by single spaces or hyphens, or a word with a digit or an at sign.
 _CANDIDATE = re.compile(r"(?<!\S)(?:\(?\+?[0-9][0-9().\-]*(?: \(?[0-9][0-9().\-]*)+(?!\S)|\S*[0-9@]\S*)")
+_KEY = re.compile(r"[0-9A-Za-z_/+=-]+")
+_CHANGE = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 _EDGES = "\"'.,;:!?()<>[]{}$%&*#|=~`"
 
 
@@ -78,9 +83,15 @@ def _shapes(s: str) -> int:
         | (len(groups) >= 4 and all(re.fullmatch(r"[0-9A-Fa-f]{0,4}", g) for g in groups) and digits >= 3) << 1
         | (12 <= digits <= 19 and bool(re.fullmatch(r"[0-9 -]+", s))) << 2
         | (7 <= digits <= 15 and bool(re.fullmatch(r"[0-9 ().+/-]+", s))) << 3
+        | (12 <= len(s) and digits < len(s) and _KEY.fullmatch(s) is not None) << SECRET
     )
 
 
+def _key_like(s: str) -> bool:
+    """At least 24 letters and digits that change about as often as at random."""
+    return len(s) >= 24 and _KEY.fullmatch(s) is not None and 6 * len(_CHANGE.findall(s)) >= len(s)
+
+
 def _spelled(word: str) -> str:
     return word.lower() if len(word) <= SPELLED else "#" + hashlib.sha256(word.lower().encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
@@ -132,7 +143,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
             continue
         shapes = _shapes(text[s:e])
         if shapes:
-            items.append((s, e, text[s:e].lower(), -1, shapes))
+            items.append((s, e, text[s:e].lower(), SECRET if shapes >> SECRET & 1 and _key_like(text[s:e]) else -1, shapes))
     around = _neighbours(text, [x[:2] for x in items])
     return spans, [(*x, _patterns(*n)) for x, n in zip(items, around)]
 
@@ -147,29 +158,31 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [scan(t or "") for t in values(b.column(1))]
-            base = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in f[0]] for f in found], pa.list_(_SPAN))
-            items = pa.array([[dict(zip(("start", "end", "instance", "seed", "shapes", "patterns"), x)) for x in f[1]] for f in found], pa.list_(_ITEM))
-            yield pa.RecordBatch.from_arrays([b.column(0), base, items], ["carried", "base", "items"])
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                found = [scan(t or "") for t in part.column(1).to_pylist()]
+                base = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in f[0]] for f in found], pa.list_(_SPAN))
+                items = pa.array([[dict(zip(("start", "end", "instance", "seed", "shapes", "patterns"), x)) for x in f[1]] for f in found], pa.list_(_ITEM))
+                yield pa.RecordBatch.from_arrays([part.column(0), base, items], ["carried", "base", "items"])
 
     carried = docs.schema["carried"].dataType.simpleString()
     return cut(docs.mapInArrow(run, f"carried {carried}, {_SCHEMA}").withColumn("rid", F.monotonically_increasing_id()))
 
 
 def believed_instances(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind) of the candidates that confident patterns agree on. Rows of the graph are distinct pairs, so that copies of a text count once."""
+    """(iid, kind) of the candidates that confident patterns agree on, and of key-like strings that a confident pattern of secrets holds. Rows of the graph are distinct pairs, so that copies of a text count once."""
     item = scanned.select(F.explode("items").alias("i")).select("i.*")
     edges = cut(item.select(F.xxhash64("instance").alias("iid"), "seed", "shapes", F.explode("patterns").alias("p")).groupBy("iid", F.xxhash64("p").alias("pid")).agg(F.max("seed").alias("seed"), F.max("shapes").alias("shapes")))
-    known = [F.count_if(F.expr(f"seed = {k}")).alias(f"known{k}") for k in range(len(KINDS))]
-    maybe = [F.count_if(F.expr(f"seed < 0 and (shapes >> {k}) & 1 = 1")).alias(f"maybe{k}") for k in range(len(KINDS))]
-    against = F.array(*(F.col("all") - F.col(f"known{k}") - (1 - UNKNOWN) * F.col(f"maybe{k}") for k in range(len(KINDS)))).alias("against")
-    counts = cut(edges.groupBy("pid").agg(F.count("*").alias("all"), *known, *maybe).filter(" + ".join(f"known{k}" for k in range(len(KINDS))) + " > 0").select("pid", against))
+    known = [F.count_if(F.expr(f"seed = {k}")).alias(f"known{k}") for k in range(len(ALL_KINDS))]
+    maybe = [F.count_if(F.expr(f"seed < 0 and (shapes >> {k}) & 1 = 1")).alias(f"maybe{k}") for k in range(len(ALL_KINDS))]
+    against = F.array(*(F.col("all") - F.col(f"known{k}") - (1 - UNKNOWN) * F.col(f"maybe{k}") for k in range(len(ALL_KINDS)))).alias("against")
+    counts = cut(edges.groupBy("pid").agg(F.count("*").alias("all"), *known, *maybe).filter(" + ".join(f"known{k}" for k in range(len(ALL_KINDS))) + " > 0").select("pid", against))
     seeds = cut(edges.filter("seed >= 0").groupBy("iid").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("belief")))
-    belief, new = seeds, None
+    belief, new, scored = seeds, None, None
     open_edges = cut(edges.join(counts.select("pid"), "pid", "left_semi").join(seeds.select("iid"), "iid", "left_anti").select("iid", "pid", "shapes"))
     for _ in range(rounds):
-        if open_edges.isEmpty():
-            break
+        if scored is not None:
+            drop_cut(scored)
         sums = edges.select("iid", "pid").join(belief, "iid").groupBy("pid", "kind").agg(F.sum("belief").alias("sum"), F.count_if(F.expr("belief >= 0.5")).alias("support"))
         scored = cut(sums.filter(F.col("support") >= SUPPORT).join(counts, "pid").select("pid", "kind", (F.col("sum") / (F.col("sum") + F.get("against", "kind") + 0.25)).alias("score")).filter(F.col("score") >= PATTERN_SCORE))
         doubt = F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.999))))
@@ -179,11 +192,9 @@ def believed_instances(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if new is not None:
             drop_cut(new)
         new = cut(best)
-        drop_cut(scored)
         belief = seeds.union(new)
-    if new is None:
-        return seeds.limit(0).select("iid", "kind")
-    return new.filter(F.col("belief") >= CONFIDENCE).select("iid", "kind")
+    held = edges.filter(F.col("seed") == SECRET).join(scored.filter(F.col("kind") == SECRET), "pid", "left_semi").select("iid", F.col("seed").alias("kind")).distinct()
+    return new.filter(F.col("belief") >= CONFIDENCE).select("iid", "kind").union(held)
 
 
 def _with_spans(scanned: DataFrame) -> DataFrame:
@@ -191,27 +202,27 @@ def _with_spans(scanned: DataFrame) -> DataFrame:
     believed = cut(believed_instances(scanned))
     if believed.isEmpty():
         return scanned.select("carried", "base", F.col("base").alias("spans"))
-    item = scanned.select("rid", F.explode("items").alias("i")).filter("i.seed < 0").select("rid", "i.start", "i.end", F.xxhash64("i.instance").alias("iid"))
+    item = scanned.select("rid", F.explode("items").alias("i")).filter(f"i.seed < 0 or i.seed = {SECRET}").select("rid", "i.start", "i.end", F.xxhash64("i.instance").alias("iid"))
     added = cut(item.join(believed, "iid").groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
     return scanned.join(added, "rid", "left").select("carried", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(scanned.schema["base"].dataType)))).alias("spans"))
 
 
 def _text(spans: str):
-    kind = F.array(*map(F.lit, KINDS))
+    kind = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256 of the base spans, spans (base and added), n_added.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256 of the base spans, spans (base and added), n_added, n_spans.
 
-    Spans are kind:start:end in code points, end exclusive, by kind in the order of KINDS, then start, joined by commas. Null text counts as empty. Added spans never overlap base
+    Spans are kind:start:end in code points, end exclusive, by kind in the order of ALL_KINDS, then start, joined by commas. Null text counts as empty. Added spans never overlap base
     ones. Repeated rows each give a row and count once as evidence. Texts are read whole.
     """
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("carried"), F.col(text_col).alias("text"))
     found = _with_spans(_scanned(rows, "text"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("carried.doc_id", *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("carried.doc_id", *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact_text(text: str, spans) -> str:
@@ -224,7 +235,7 @@ def redact_text(text: str, spans) -> str:
         else:
             merged.append([kind, start, end])
     for kind, start, end in merged:
-        out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        out += [text[at:start], f"[{ALL_KINDS[kind].upper()}]"]
         at = end
     return "".join([*out, text[at:]])
 
@@ -236,9 +247,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
 
     def run(batches):
         for b in batches:
-            pairs = zip(values(b.column(0).field(text_col)), values(b.column(1)))
-            new = pa.array((redact_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) if s else t for t, s in pairs), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), new], ["carried", "clean"])
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                pairs = zip(part.column(0).field(text_col).to_pylist(), part.column(1).to_pylist())
+                new = pa.array((redact_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) if s else t for t, s in pairs), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), new], ["carried", "clean"])
 
     kind = found.schema["carried"].dataType.simpleString()
     clean = found.select("carried", "spans").mapInArrow(run, f"carried {kind}, clean string")

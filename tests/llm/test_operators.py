@@ -424,6 +424,23 @@ def test_scores_match_brute_force(spark):
         assert {(names[r["iid"]], r["kind"]) for r in got.collect()} == want
 
 
+def test_secrets_need_a_pattern(spark):
+    """Key-like strings, and others in their place, are found where different ones share a pattern; a lone checksum stays."""
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"word{rng.random()} api token = \"{key()}\" word{i}", "en", "a") for i in range(12)]
+    rows += [(50, 'here api token = "Short-Key-42x" then', "en", "a"), (60, f"checksum{rng.random()} {key()} of the file", "en", "a"), (61, "plain words only", "en", "a")]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in pii_bootstrap.personal_data(docs).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for i in [*range(12), 50]:
+        kind, start, end = got[i]["spans"].split(":")
+        assert kind == "secret" and texts[i][int(start) - 1] == '"' and texts[i][int(end)] == '"' and got[i]["n_added"] == got[i]["n_spans"] == 1
+    assert got[60]["spans"] == got[61]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(docs).collect()}
+    assert clean[50] == 'here api token = "[SECRET]" then' and clean[60] == texts[60]
+
+
 def test_redaction_of_overlaps():
     assert pii_bootstrap.redact_text("ab12345678cd", [(2, 2, 8), (3, 6, 10)]) == "ab[CARD]cd"
 
