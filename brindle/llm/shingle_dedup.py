@@ -10,18 +10,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
-from .golay_dedup import BUCKET, fingerprint_links
+from .golay_dedup import fingerprint_links
 from .shared import cut, drop_cut, values, with_row_key, without
 
 #: Words of a shingle, the limit as a fraction, the keys of a document with the minima of each, and the keys that candidates share.
 WIDTH = 5
 LIMIT = (4, 5)
 BANDS, ROWS, SHARED = 32, 5, 2
+#: Buckets of up to so many sets are compared pair by pair; larger ones by prefix filtering.
+BUCKET = 128
 #: So many words keep their hash in a worker, which saves repeated work and changes no result.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 _RNG = np.random.default_rng(42)
 _FACTORS, _TERMS = (_RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
@@ -126,67 +128,128 @@ def _views(column: pa.Array):
         yield np.frombuffer(x.as_buffer(), np.uint64) if x.as_buffer() is not None else np.empty(0, np.uint64)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the limit. nodes: node, file, row; texts: file, row, text."""
+def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, found): the sets of shingles of wanted (node, file, row), from texts (file, row, text)."""
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t or b"").tobytes() for t in values(part.column(1).cast(pa.binary()))], pa.binary())], ["node", "found"])
 
+    return cut(texts.join(wanted, ["file", "row"]).select("node", "text").mapInArrow(run, "node long, found binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the limit."""
+
     def run(batches):
         for b in batches:
             same = [similar(x, y) for x, y in zip(_views(b.column(2)), _views(b.column(3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    asked = cut(_ordered(pairs).distinct())
-    ids = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.select("node", "file", "row").join(ids, "node"))
-    found = cut(texts.join(wanted, ["file", "row"]).select("node", "text").mapInArrow(sets, "node long, found binary"))
-    a, b = (found.select(F.col("node").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
-    links = cut(asked.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long"))
-    for x in (asked, wanted, found):
-        drop_cut(x)
-    return links
+    a, b = (sets.select(F.col("node").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
+    return cut(_ordered(pairs).distinct().join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long"))
+
+
+def _rooted(frame: DataFrame, links: DataFrame) -> DataFrame:
+    """frame with root, the component of its node over links."""
+    roots = connected_components(links)
+    out = cut(frame.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    drop_cut(roots)
+    return out
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes lie in different components over links."""
+    roots = connected_components(links)
+    of = lambda x: roots.select(F.col("a").alias(x), F.col("b").alias(f"root_{x}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    out = cut(joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    drop_cut(roots)
+    return out
 
 
 def shingle_links(keyed: DataFrame, close: DataFrame, nodes: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): verified links that connect what the candidates connect: the pairs of close, and nodes that share SHARED keys of keyed (key, node, n).
+    """(a, b): verified links that connect what the candidates connect: the pairs of close, and nodes that share SHARED keys of keyed (key, node, n), or a key of more than `bucket` nodes.
 
-    Buckets of up to `bucket` nodes give every pair. In a larger one all nodes are first compared with its smallest; those outside the commonest component of the bucket are then compared with
-    the nodes of other components that share a second key with them. So a hot bucket of near copies costs linear rows, one of texts that only share a passage falls apart by their other
-    keys, and a link is only left out between nodes that others connect.
+    First each node is compared with the smallest of its nodes in close and with a leader of its buckets: a bucket's leader is the node that meets most others in all of its own buckets, such as the text
+    that copies were made from. That connects most copies by one pair each; from then on only nodes of different components meet. Buckets of up to `bucket` nodes give every such pair. Of larger ones, the nodes
+    outside the commonest component are compared with the nodes that share a shingle of their prefixes, which finds every similar pair (_prefixes). So a hot bucket of copies costs linear rows, one of
+    texts that only share a passage falls apart by their own words, and a link is only left out between nodes that others connect.
     """
-    sizes = cut(keyed.groupBy("key").count().filter("count > 1"))
-    shared = keyed.join(sizes, "key")
-    small = cut(shared.filter(F.col("count") <= bucket).select("key", "node", "n"))
-    hot = cut(shared.filter(F.col("count") > bucket).select("key", "node", "n"))
-    first = cut(hot.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "m.*"))
-    met = _sides(small, "a").join(_sides(small, "b"), "key").filter((F.col("a") < F.col("b")) & _enough())
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1"))
+    met_ = cut(keyed.join(sizes, "key").select("key", "node", "n", "count"))
+    degree = cut(met_.groupBy("node").agg(F.sum("count").alias("degree")))
+    leader = met_.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("m"), "n")).alias("first"))
+    shared = cut(met_.join(cut(leader), "key").select("key", "node", "n", "count", (-F.col("first.m")).alias("first"), F.col("first.n").alias("n_first"), F.col("first.degree").alias("degree")))
+    for x in (sizes, met_, degree):
+        drop_cut(x)
+    wanted = shared.select("node").union(close.select(F.explode(F.array("a", "b")))).distinct()
+    sets = _sets(cut(nodes.select("node", "file", "row").join(wanted, "node")), texts)
+    leads = shared.select("node", F.col("first").alias("a"), F.col("node").alias("b"), F.col("n_first").alias("n_a"), F.col("n").alias("n_b"), "degree").filter(_enough())
+    nearest = close.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("b"))
+    links = _verified(leads.groupBy("node").agg(F.max(F.struct("degree", (-F.col("a")).alias("m"))).alias("best")).select("node", (-F.col("best.m")).alias("b")).union(nearest).select(F.col("node").alias("a"), "b"), sets)
+    far_close = _apart(close, links)
+    # buckets that hold several components
+    rooted = _rooted(shared, links)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    open_ = cut(rooted.join(mixed, "key"))
+    drop_cut(shared)
+    drop_cut(rooted)
+    small, hot = open_.filter(F.col("count") <= bucket), open_.filter(F.col("count") > bucket)
+    apart = F.col("root_a") != F.col("root_b")
+    met = _sides(small, "a", "root").join(_sides(small, "b", "root"), "key").filter((F.col("a") < F.col("b")) & apart & _enough())
     # a pair that shares a hot key as well is judged there
     twice = met.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
-    star = _sides(first, "a").join(_sides(hot, "b"), "key").filter(_enough()).select("a", "b")
-    links = _verified(twice.union(star).union(close), nodes, texts)
-    for x in (sizes, small, first):
-        drop_cut(x)
+    more = _verified(twice.union(far_close), sets)
+    links = cut(links.union(more))
+    drop_cut(more)
+    drop_cut(far_close)
     if hot.isEmpty():
+        drop_cut(open_)
+        drop_cut(sets)
         return links
-    roots = connected_components(links)
-    rooted = cut(hot.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    main = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.root").alias("main"))
-    split = cut(rooted.join(main, "key"))
-    # each row of a bucket under every other key of its node
-    others = keyed.select("node", F.col("key").alias("second")).join(split.select("node").distinct(), "node")
-    second = cut(split.join(others, "node").filter("key != second").select(F.xxhash64("key", "second").alias("key"), "node", "n", "root", (F.col("root") != F.col("main")).alias("aside")))
-    asked = second.filter("aside").select("key").distinct()
-    few = cut(second.join(asked, "key", "left_semi"))
-    a, b = _sides(few.filter("aside"), "a", "root"), _sides(few, "b", "root")
-    rest = a.join(b, "key").filter(_enough() & (F.col("root_a") != F.col("root_b"))).select("a", "b")
-    more = _verified(rest, nodes, texts)
-    for x in (hot, roots, rooted, split, second, few):
+    again = _rooted(hot.drop("root"), links)
+    main = again.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.root").alias("main"))
+    split = cut(again.join(main, "key").groupBy("node", "n", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("aside")))
+    prefixes = _prefixes(split, sets)
+    met = _sides(prefixes.filter("aside = 1"), "a", "root", "reach").join(_sides(prefixes, "b", "root", "reach"), "key").filter(_enough() & apart)
+    # from the first shingle that two nodes share on, either has no more than its reach, and both must share this much
+    most = F.least("reach_a", "reach_b") * (LIMIT[0] + LIMIT[1]) >= (F.col("n_a") + F.col("n_b")) * LIMIT[0]
+    rest = met.filter(most).select("a", "b")
+    more = _verified(rest, sets)
+    out = cut(links.union(more))
+    for x in (open_, sets, links, more, again, split, prefixes):
         drop_cut(x)
-    return links.union(more)
+    return out
+
+
+def _prefixes(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """split (node, n, root, aside) with key, a row for each shingle of its prefix that another node of split has too, and reach, the number of such shingles from this one on.
+
+    Two sets of similarity s share s * n shingles of each set of n. So, in any one order of shingles, they share one among the first n - ceil(s * n) + 1 of each (prefix filtering; Chaudhuri et al., 2006).
+    The rarest come first here: a node with more shingles of its own than its prefix holds is similar to no other, and needs no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(4)]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                keys = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:4]), keys], ["node", "n", "root", "aside", "key"])
+
+    flat = cut(split.join(sets, "node").select("node", "n", "root", "aside", "found").mapInArrow(run, "node long, n long, root long, aside int, key long"))
+    known = flat.join(flat.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "key")
+    length = F.col("n") - F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]) + 1
+    # shingles of its own come first in a node's order
+    held = known.withColumn("k", F.count("*").over(Window.partitionBy("node"))).withColumn("left", length - (F.col("n") - F.col("k")))
+    near = held.filter("left > 0").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "key")))
+    out = cut(near.filter("place <= left").select("key", "node", "n", "root", "aside", (F.col("k") - F.col("place") + 1).alias("reach")))
+    drop_cut(flat)
+    return out
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> tuple[DataFrame, str, DataFrame, DataFrame]:
@@ -202,6 +265,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> tuple[
     band = cut(nodes.select(F.explode("keys").alias("key"), "node", "n"))
     links = shingle_links(band, close, nodes, rows.select("file", "row", "text"), bucket)
     roots = connected_components(links)
+    drop_cut(links)
     classes = cut(nodes.select("digest", "node").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     for x in (fps, close, band, nodes, roots):
         drop_cut(x)
