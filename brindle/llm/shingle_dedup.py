@@ -21,7 +21,7 @@ WIDTH = 5
 LIMIT = (4, 5)
 BANDS, ROWS, SHARED = 32, 5, 2
 #: Buckets of up to so many sets are compared pair by pair; larger ones by prefix filtering.
-BUCKET = 128
+BUCKET = 8
 #: So many words keep their hash in a worker, which saves repeated work and changes no result.
 REMEMBERED = 50_000
 _RNG = np.random.default_rng(42)
