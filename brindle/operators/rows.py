@@ -113,31 +113,32 @@ def _fill(df: DataFrame, name: str, order, by, forward: bool, split: bool) -> Da
     if not order:
         raise BrindleError("rows have no order of their own: name order columns")
     if by and not split:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, _known_value(name, w, forward))
+        at, kept = (fresh_name(df, n) for n in ("at", "kept"))
+        return _known_values(df, name, order, by, forward, at, kept).withColumn(name, F.col(kept)).select(*df.columns)
     return _fill_ranges(df, name, order, by, forward)
 
 
-def _known_value(name: str, w, forward: bool) -> Column:
-    """The nearest value at or before a row of the window, or at or after it."""
-    return F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(name, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def _known_values(df: DataFrame, name: str, order: list, by: list, forward: bool, at: str, kept: str) -> DataFrame:
+    """df with the number of each row in its group, at, and the nearest value at or before it, or at or after it, kept.
+
+    Spark reads a frame up to the last row anew for each row, which takes the square of a group's rows: backwards the rows are turned, and the frame starts at the first.
+    """
+    numbered = df.withColumn(at, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    w = Window.partitionBy(*by).orderBy(*(order if forward else [F.desc(at)]))
+    return numbered.withColumn(kept, F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _fill_ranges(df: DataFrame, name: str, order: list, by: list[str], forward: bool) -> DataFrame:
     """A group may be large, or all rows one group: range partitions are filled each on their own. What one hands to the next is a value for each group that it holds."""
     part, at, kept = (fresh_name(df, n) for n in ("part", "at", "kept"))
     parts = df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id())
-    w = Window.partitionBy(part, *by).orderBy(*order)
     # written, as the partitions of a row must not change between the two uses
-    numbered = materialised(parts.withColumn(at, F.row_number().over(w)).withColumn(kept, _known_value(name, w, forward)))
+    numbered = materialised(_known_values(parts, name, order, [part, *by], forward, at, kept))
     value = F.when(F.col(name).isNotNull(), F.col(at))
     groups = [F.col(c).alias(f"by_{i}") for i, c in enumerate(by)]
     ends = numbered.groupBy(F.col(part).alias("of"), *groups).agg((F.max_by if forward else F.min_by)(name, value).alias("v"))
-    over_parts = Window.partitionBy(*(f"by_{i}" for i in range(len(by)))).orderBy("of")
-    if forward:
-        carried = F.last("v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        carried = F.first("v", True).over(over_parts.rowsBetween(1, Window.unboundedFollowing))
+    over_parts = Window.partitionBy(*(f"by_{i}" for i in range(len(by)))).orderBy("of" if forward else F.desc("of"))
+    carried = F.last("v", True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
     edges = ends.withColumn("carried", carried).filter("carried is not null").select(F.struct("*").alias(found := fresh_name(numbered, "found")))
     on = numbered[part] == edges[found]["of"]
     for i, c in enumerate(by):

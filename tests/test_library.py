@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from brindle import errors, functions as E, operators as O, sources as S, types as BT
+from brindle import errors, functions as E, operators as O, sources as S, storage, types as BT
 from brindle.plans.builder import from_schema
 from brindle.plans import introspect
 from brindle.plot import plot
@@ -130,6 +130,25 @@ def test_fill_in_split_groups(spark, values):
         assert sorted(rows(fill(df, "v", "i", by="k", split_groups=True))) == sorted(rows(fill(df, "v", "i", by="k")))
 
 
+def test_fill_backward_takes_no_square_of_a_group(spark, monkeypatch):
+    """A frame up to the last row is read anew for each row."""
+    plans, write = [], storage.materialised
+    monkeypatch.setattr("brindle.operators.rows.materialised", lambda df: plans.append(O.explain(df)) or write(df))
+    values = [(i, "ab"[i % 7 == 0], i if i % 400 == 150 else None) for i in range(2000)]
+    df = spark.createDataFrame(values, "i int, k string, v int").repartition(3)
+    for order, ahead in (("i", 1), (F.desc("i"), -1)):
+        for more in ({}, {"by": "k"}, {"by": "k", "split_groups": False}):
+            want, kept = [], {}
+            for i, k, v in values[::-ahead]:
+                group = k if more else None
+                kept[group] = v if v is not None else kept.get(group)
+                want.append((i, k, kept[group]))
+            got = O.fill_backward(df, "v", order, **more)
+            plans.append(O.explain(got))
+            assert got.columns == df.columns and sorted(rows(got)) == sorted(want)
+    assert len(plans) == 10 and "unboundedpreceding" in "".join(plans) and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([(1, None, "[1,2]"), (2, 5, "[]"), (None, 6, "x")], "a int, b int, j string")
     assert rows(O.drop_null(df, ["a"]))[0][0] == 1 and O.drop_null(df).count() == 1
